@@ -27,7 +27,7 @@ from tidelog.common import PRIVATE, cut, ident, rows_at_most
 from tidelog.llm.lookalike import form
 
 #: The masks; 1 counts, 0 is ignored. The window is 12 words, the shortest run that is a leak.
-MASKS = ("111111111111", "110110110111", "111011011011")
+MASKS = ("110110110111", "111011011011", "101111011101")
 
 #: log2 of the filter's bits (2 MB), whatever the number of items.
 FILTER_BITS = 24
@@ -77,7 +77,7 @@ def _filter_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(df: DataFrame, id_col: str, text: str, masks: Sequence[str]) -> DataFrame:
-    """``id, mask, pos, h`` for every window of every text, and its words' hashes in ``ws`` at mask 0, position 0."""
+    """``id, mask, pos, h`` for every window of every text under every mask."""
     schema = "id long, mask int, pos int, h long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
