@@ -12,7 +12,7 @@ from tidelog.functions.scalars import Value, java_pattern
 from tidelog.functions.values import txt
 from tidelog.plans.errors import SearchError
 from tidelog.plans.nodes import Command, FieldTest, Literal, Logic, Not, Term
-from tidelog.plans.relation import Relation
+from tidelog.plans.relation import NAME, Relation
 
 
 # the predicates of a base search ------------------------------------------------------------------------------------
@@ -43,6 +43,10 @@ def _field_test(rel: Relation, node: FieldTest) -> Column:
         return v.col.isNotNull() if node.op == "=" else v.col.isNull() & v.col.isNotNull()
     if v.kind == "mv":
         return F.exists(v.col, lambda m: _test(Value(m, "string"), node, value))
+    if node.field == "index" and node.op in ("=", "!=") and NAME in rel.df.columns:
+        # a table that holds several indexes is named as a whole by its binding
+        own, whole = _test(v, node, value), _test(Value(F.col(NAME), "string"), node, value)
+        return own | whole if node.op == "=" else own & whole
     return _test(v, node, value)
 
 

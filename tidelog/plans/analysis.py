@@ -48,7 +48,7 @@ def _json_names(rel: Relation) -> DataFrame | None:
     root = rel.json_root
     if root is None or rel.closed or root not in rel.df.columns:
         return None
-    return rel.df.select(F.explode(F.json_object_keys(ident(root))).alias("field"), ident(root).alias("j")).select("field", F.get_json_object("j", F.concat(F.lit("$."), F.col("field"))).alias("v"))
+    return rel.df.select(F.explode(F.json_object_keys(ident(root))).alias("field"), ident(root).alias("j")).select("field", F.call_function("get_json_object", F.col("j"), F.concat(F.lit("$['"), F.col("field"), F.lit("']"))).alias("v"))
 
 
 def field_catalog(session: Session, source: str, *args, **options) -> DataFrame:

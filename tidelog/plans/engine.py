@@ -55,12 +55,13 @@ def result_kind(commands: Sequence[Command]) -> str:
     return kind
 
 
-def index_scope(node, names: Sequence[str]) -> list[str]:
-    """The indexes that a base predicate can match: an AND narrows, an OR widens, a negation tells nothing."""
+def index_scope(node, names: Sequence[str], shared: Sequence[str] = ()) -> list[str]:
+    """The bindings that a base predicate can match: an AND narrows, an OR widens, a negation tells nothing. A name
+    that isn't a binding's may be an index inside one of the ``shared`` tables."""
     if isinstance(node, FieldTest) and node.field == "index" and node.op == "=":
-        return prune(names, [node.value])
+        return prune(names, [node.value]) or list(shared)
     if isinstance(node, Logic):
-        scopes = [index_scope(p, names) for p in node.parts]
+        scopes = [index_scope(p, names, shared) for p in node.parts]
         if node.op == "or":
             return [n for n in names if any(n in s for s in scopes)]
         return [n for n in names if all(n in s for s in scopes)]
@@ -108,7 +109,7 @@ class Session:
     def plan(self, source: str) -> Plan:
         """Parses and checks a search; raises ``SearchError``."""
         parsed = parse(source)
-        indexes = index_scope(parsed.base, self.catalog.names()) if parsed.base is not None else self.catalog.names()
+        indexes = index_scope(parsed.base, self.catalog.names(), [n for n, b in self.catalog.bindings.items() if b.by_index_column]) if parsed.base is not None else self.catalog.names()
         names = referenced(parsed.base)
         for c in parsed.commands:
             names |= reads(c)

@@ -13,8 +13,8 @@ from tidelog.common import PRIVATE, ident
 from tidelog.functions.scalars import Compiler, Value
 from tidelog.functions.values import kind_of
 
-#: Private columns of events: their time and unique key, which commands can't change.
-TIME, KEY = PRIVATE + "time", PRIVATE + "key"
+#: Private columns of events: their time, unique key and binding, which commands can't change.
+TIME, KEY, NAME = PRIVATE + "time", PRIVATE + "key", PRIVATE + "index"
 
 
 @dataclass(frozen=True)

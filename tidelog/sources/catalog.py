@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.common import ident, table
-from tidelog.plans.relation import KEY, TIME
+from tidelog.plans.relation import KEY, NAME, TIME
 
 
 @dataclass(frozen=True)
@@ -28,7 +28,7 @@ class Binding:
     visibility: str | None = None
     expires: str | None = None
     tenant: str | None = None
-    by_index_column: str | None = None
+    by_index_column: str | None = None  # of a table that holds several indexes: the column with their names
 
 
 class Catalog:
@@ -72,6 +72,7 @@ class Catalog:
             cols.append(ident(b.raw).alias("_raw"))
         if "index" not in shown:
             cols.append((ident(b.by_index_column) if b.by_index_column else F.lit(name)).alias("index"))
+        cols.append(F.lit(name).alias(NAME))
         if b.time:
             cols += [ident(b.time).alias(TIME), F.concat_ws("\x1f", *[F.lpad(ident(k).cast("string"), 20, "0") if df.schema[k].dataType.typeName() in ("long", "integer") else ident(k).cast("string") for k in b.keys]).alias(KEY)]
         else:
