@@ -86,13 +86,16 @@ class Transducer:
     def _cluster_form(self, cluster: str) -> str:
         parts, at = [], 0
         while at < len(cluster):
-            for end in range(min(len(cluster), at + _LONGEST), at, -1):  # the longest source first
+            for end in range(min(len(cluster), at + _LONGEST), at + 1, -1):  # the longest source first
                 piece = unicodedata.normalize("NFC", cluster[at:end])
                 to = self.table.get(piece, piece if len(piece) == 1 else None)
                 if to is not None:
                     parts.append(to)
                     at = end
                     break
+            else:
+                parts.append(self.table.get(cluster[at], cluster[at]))
+                at += 1
         return "".join(parts)
 
     def _rewrite(self, run: str) -> str:
