@@ -146,7 +146,7 @@ def _word_rank(word: Column) -> Column:
 
 def _number_rank(kind: str, n: Column) -> Column:
     if kind == "syslog":  # 0 emergency, 1 alert, 2 critical, 3 error, 4 warning, 5 notice, 6 info, 7 debug
-        return F.element_at(F.array(*[F.lit(x) for x in (6, 6, 6, 5, 4, 3, 3, 2)]), n % 8 + 1)
+        return F.get(F.array(*[F.lit(x) for x in (6, 6, 6, 5, 4, 3, 3, 2)]), n % 8)
     if kind == "pino":  # tens
         return F.least(F.greatest(div(n.cast("long"), F.lit(10)), F.lit(1)), F.lit(6)).cast("int")
     return F.when(n.between(1, 24), div(n.cast("long") + 3, F.lit(4)).cast("int"))  # telemetry: four numbers a level
@@ -204,8 +204,8 @@ def parse_records(df: DataFrame, record: str, near_us: str, entry: str = "entry"
     df = _once(df, PRIVATE + "at", F.struct(us.alias("us"), rank.alias("rank")))
     us, rank = F.col(PRIVATE + "at")["us"], F.col(PRIVATE + "at")["rank"]
     value = F.struct(
-        F.when(rec.isNotNull(), F.coalesce(F.element_at(F.array(*[F.lit(x.name) for x in CASCADE]), lay + 1), F.lit("plain"))).alias("layout"), us.alias("entry_us"), rank.alias("level_rank"),
-        F.element_at(F.array(*[F.lit(x) for x in LEVEL_NAMES]), rank).alias("level"), got["component"].alias("component"), got["message"].alias("message"),
+        F.when(rec.isNotNull(), F.coalesce(F.get(F.array(*[F.lit(x.name) for x in CASCADE]), lay), F.lit("plain"))).alias("layout"), us.alias("entry_us"), rank.alias("level_rank"),
+        F.get(F.array(*[F.lit(x) for x in LEVEL_NAMES]), rank - 1).alias("level"), got["component"].alias("component"), got["message"].alias("message"),
         (F.length(rec) - F.length(F.replace(rec, F.lit("\n"))) + 1).alias("n_lines"),
     )
     return df.withColumn(entry, value).drop(PRIVATE + "lay", PRIVATE + "head", PRIVATE + "got", PRIVATE + "at")

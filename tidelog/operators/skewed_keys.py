@@ -26,7 +26,8 @@ SPLIT = 16
 
 def _long_form(df: DataFrame, key_fields: Sequence[str], value: str) -> DataFrame:
     """One row per row and key field: key_field, key_value, v."""
-    v = F.least(F.greatest(ident(value).cast("long"), F.lit(-VALUE_BOUND)), F.lit(VALUE_BOUND))
+    v = ident(value).cast("long")
+    v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-VALUE_BOUND)), F.lit(VALUE_BOUND)))
     return df.select(
         F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), ident(k).cast("string").alias("key_value")) for k in key_fields])).alias("k"), v.alias("v"),
     ).select("k.key_field", "k.key_value", "v")
