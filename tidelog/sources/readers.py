@@ -5,6 +5,7 @@ Every decoder is a projection over a DataFrame of texts, so that the same one se
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
@@ -118,9 +119,11 @@ def split_envelopes(bodies: DataFrame, body: str, *, received: Column | None = N
 
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
     """A lookup file: comma-separated with a header of unique names, all cells texts, empty cells empty texts."""
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="\x00", emptyValue="", mode="FAILFAST")
-    if len({c.lower() for c in df.columns}) != len(df.columns) or any(not c for c in df.columns):
+    head = spark.read.text(path).limit(1).collect()
+    names = next(csv.reader([head[0][0]])) if head else []
+    if len({n.lower() for n in names}) != len(names) or not names or any(not n for n in names):
         raise DataError("a lookup file's columns need unique names")
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="\x00", emptyValue="", mode="FAILFAST")
     return df.fillna("")
 
 

@@ -77,8 +77,12 @@ class EventStore:
         rows = events.withColumn("month", F.date_format(ident(self.time), "yyyy-MM"))
         rows.write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/batch={token}")
 
+    def _stored(self) -> DataFrame:
+        return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
+
     def read(self, now: Column | None = None) -> DataFrame:
-        df = self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
+        """All events that haven't expired; a store without any batch can't be read."""
+        df = self._stored()
         if "expires_at" in df.columns:
             df = df.where(F.col("expires_at").isNull() | (F.col("expires_at") > (F.current_timestamp() if now is None else now)))
         return df
@@ -88,7 +92,7 @@ class EventStore:
         gone = F.col("index") == index
         if tenant is not None:
             gone = gone & (F.col("tenant_id") == tenant)
-        return self._rewrite(self.read().where(~F.coalesce(gone, F.lit(False))), into)
+        return self._rewrite(self._stored().where(~F.coalesce(gone, F.lit(False))), into)
 
     def purge(self, into: str, now: Column | None = None) -> EventStore:
         """A new store without expired events."""
