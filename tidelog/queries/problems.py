@@ -101,6 +101,41 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("visibility_seq", "record_no", "entry.layout", "entry.entry_us", "entry.level", "entry.component", "entry.message", "entry.n_lines")
 
 
+_P6 = r"""
+WITH r AS (SELECT visibility_seq, index_time, replace(raw, chr(13), '') AS raw FROM log_events WHERE raw_encoding = 1),
+k AS (SELECT *, CASE
+  WHEN raw LIKE '{%' AND (raw LIKE '%"severity_text"%' OR raw LIKE '%"severity_number"%' OR raw LIKE '%"body"%') THEN 'otel'
+  WHEN raw LIKE '{%' AND regexp_matches(raw, '"level"\s*:\s*\d') THEN 'pino' WHEN raw LIKE '{%' THEN 'zap'
+  WHEN regexp_matches(raw, '^<\d+>\d ') THEN 'ietf' WHEN regexp_matches(raw, '^<\d+>[A-Z]') THEN 'bsd' WHEN regexp_matches(raw, '^[A-Z]\d{4} \d') THEN 'klog'
+  WHEN regexp_matches(raw, '^[A-Z][a-z]{2} \d\d, ') THEN 'jul' WHEN regexp_matches(raw, '^\[\d{4}-') THEN 'bracket' WHEN regexp_matches(raw, '^\d{4}-\S+ \S+ - ') THEN 'dash'
+  WHEN regexp_matches(raw, '^\d{4}-\S+ \S+ [A-Z]+ +\[') THEN 'after' WHEN regexp_matches(raw, '^\d{4}-\S+ \S+ \[') THEN 'before' WHEN regexp_matches(raw, '^\d{4}-\d\d-\d\dT') THEN 'path'
+  WHEN regexp_matches(raw, '^[A-Z]+:[^:\s]+:\d{4}-') THEN 'first' WHEN regexp_matches(raw, '^[a-z]+=') THEN 'pairs' END AS lay FROM r),
+q AS (SELECT visibility_seq, index_time, lay, CASE lay WHEN 'pairs' THEN regexp_replace(raw, '"(?:[^"\\]|\\.)*("|$)', '""', 'g') WHEN 'path' THEN regexp_replace(raw, chr(27) || '\[[0-9;]*m', '', 'g') ELSE raw END AS raw FROM k),
+f AS (SELECT *, CASE lay
+  WHEN 'otel' THEN coalesce(nullif(regexp_extract(raw, '"severity_number"\s*:\s*(\d+)', 1), ''), regexp_extract(raw, '"severity_text"\s*:\s*"([^"]+)"', 1))
+  WHEN 'pino' THEN regexp_extract(raw, '"level"\s*:\s*(\d+)', 1) WHEN 'zap' THEN regexp_extract(raw, '[{,]\s*"level"\s*:\s*"([^"]+)"', 1) WHEN 'ietf' THEN regexp_extract(raw, '^<(\d+)>', 1) WHEN 'bsd' THEN regexp_extract(raw, '^<(\d+)>', 1)
+  WHEN 'klog' THEN raw[1] WHEN 'jul' THEN regexp_extract(raw, '^[^\n]*\n([A-Z]+):', 1) WHEN 'bracket' THEN regexp_extract(raw, '^\[[^\]]+\]\[([^\]]+)', 1) WHEN 'dash' THEN regexp_extract(raw, '^\S+ \S+ - \S+ - ([A-Z]+) - ', 1)
+  WHEN 'after' THEN regexp_extract(raw, '^\S+ \S+ ([A-Z]+)', 1) WHEN 'before' THEN regexp_extract(raw, '^\S+ \S+ \[[^\]]*\] ([A-Z]+)', 1) WHEN 'path' THEN regexp_extract(raw, '^\S+ +([A-Z]+)', 1)
+  WHEN 'first' THEN regexp_extract(raw, '^([A-Z]+):', 1) WHEN 'pairs' THEN regexp_extract(raw, '(?:^| )(?:level|lvl|severity)=(\w+)', 1) END AS lv, CASE lay
+  WHEN 'otel' THEN regexp_extract(raw, '"timestamp"\s*:\s*"([^"]+)"', 1) WHEN 'pino' THEN regexp_extract(raw, '"time"\s*:\s*(\d+)', 1) WHEN 'zap' THEN regexp_extract(raw, '[{,]\s*"ts"\s*:\s*"?([^",}\s]+)', 1)
+  WHEN 'ietf' THEN regexp_extract(raw, '^\S+ (\S+)', 1) WHEN 'bsd' THEN regexp_extract(raw, '>(\w+ +\d+ \S+)', 1) WHEN 'klog' THEN raw[2:14] WHEN 'jul' THEN regexp_extract(raw, '^(.*? [AP]M) ', 1) WHEN 'bracket' THEN regexp_extract(raw, '^\[([^\]]+)', 1)
+  WHEN 'path' THEN regexp_extract(raw, '^(\S+)', 1) WHEN 'first' THEN regexp_extract(raw, '(\d{4}-\S+ [\d:]+)', 1) WHEN 'pairs' THEN regexp_extract(raw, '(?:^| )(?:ts|time|t)=(\S+)', 1) ELSE raw[1:19] END AS ts, CASE lay
+  WHEN 'otel' THEN regexp_extract(raw, '"scope"\s*:\s*\{\s*"name"\s*:\s*"([^"]+)"', 1) WHEN 'pino' THEN regexp_extract(raw, '"name"\s*:\s*"([^"]+)"', 1) WHEN 'zap' THEN regexp_extract(raw, '[{,]\s*"logger"\s*:\s*"([^"]+)"', 1)
+  WHEN 'ietf' THEN regexp_extract(raw, '^\S+ \S+ \S+ (\S+)', 1) WHEN 'bsd' THEN regexp_extract(raw, '^\S+ +\d+ \S+ \S+ ([^\s:\[]+)', 1) WHEN 'klog' THEN regexp_extract(raw, '^\S+ \S+ +\d+ ([^:\s]+):', 1) WHEN 'jul' THEN regexp_extract(raw, ' [AP]M (\S+)', 1)
+  WHEN 'bracket' THEN regexp_extract(raw, '^\[[^\]]+\]\[[^\]]+\]\[([^\]]+)', 1) WHEN 'dash' THEN regexp_extract(raw, '^\S+ \S+ - (\S+) - ', 1) WHEN 'after' THEN regexp_extract(raw, '^\S+ \S+ [A-Z]+ +\[[^\]]*\] (\S+) - ', 1)
+  WHEN 'before' THEN regexp_extract(raw, '^\S+ \S+ \[[^\]]*\] [A-Z]+ +(\S+): ', 1) WHEN 'path' THEN regexp_extract(raw, '^\S+ +[A-Z]+ (\S+): ', 1) WHEN 'first' THEN regexp_extract(raw, '^[A-Z]+:([^:]+):', 1)
+  WHEN 'pairs' THEN regexp_extract(raw, '(?:^| )(?:component|logger)=(\S+)', 1) END AS component FROM q),
+e AS (SELECT * FROM f WHERE CASE WHEN lay = 'otel' AND TRY_CAST(lv AS INT) IS NOT NULL THEN CAST(lv AS INT) >= 17 WHEN lay = 'pino' THEN TRY_CAST(lv AS INT) >= 50 WHEN lay IN ('ietf', 'bsd') THEN CAST(lv AS INT) % 8 <= 3
+  ELSE lower(lv) IN ('error', 'err', 'eror', 'e', 'severe', 'fatal', 'f', 'critical', 'crit', 'crt', 'panic', 'dpanic', 'emerg', 'alert') END),
+y AS (SELECT *, regexp_extract(ts, '([+-]\d\d:?\d\d)$', 1) AS off,
+  list_transform([-1, 0, 1], lambda d: try_strptime(CASE lay WHEN 'bsd' THEN regexp_replace(ts, ' +', ' ', 'g') WHEN 'klog' THEN ts ELSE '' END || ' ' || CAST(year(index_time) + d AS VARCHAR), ['%m%d %H:%M:%S %Y', '%b %d %H:%M:%S %Y'])) AS ys FROM e)
+SELECT visibility_seq, CASE WHEN lay = 'pino' THEN CAST(ts AS BIGINT) // 1000 WHEN lay = 'zap' AND TRY_CAST(ts AS DOUBLE) IS NOT NULL THEN CAST(floor(CAST(ts AS DOUBLE)) AS BIGINT)
+  WHEN lay = 'jul' THEN CAST(epoch(strptime(ts, '%b %d, %Y %I:%M:%S %p')) AS BIGINT)
+  WHEN lay IN ('bsd', 'klog') THEN CAST(epoch(list_sort(list_transform(list_filter(ys, lambda t: t IS NOT NULL), lambda t: {'d': abs(epoch(t) - epoch(index_time)), 't': t}))[1].t) AS BIGINT)
+  ELSE CAST(epoch(strptime(replace(ts[1:19], 'T', ' '), '%Y-%m-%d %H:%M:%S')) AS BIGINT) - CASE WHEN off = '' THEN 0 ELSE (CASE off[1] WHEN '-' THEN -1 ELSE 1 END) * (CAST(off[2:3] AS INT) * 3600 + CAST(replace(off, ':', '')[4:5] AS INT) * 60) END END AS entry_epoch, component
+FROM y
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries)}
 
 SQL = {
@@ -111,5 +146,6 @@ SQL = {
     "p4_events": _P4_RANKED + "SELECT tenant_id, event_id, visibility_seq, index_name, CAST(length(raw) AS BIGINT) AS raw_chars, epoch_us(collected_at) AS collected_us FROM ranked WHERE rn = 1",
     "p4_copies": "SELECT copies, count(*) AS identities FROM (SELECT count(*) AS copies FROM log_events GROUP BY tenant_id, event_id) GROUP BY 1",
     "p5_found": _P5_LONG + "SELECT key_field, key_value FROM long WHERE key_value <> '' GROUP BY 1, 2 HAVING count(*) >= 0.05 * (SELECT count(*) FROM log_events)",
+    "p6_found": _P6,
     "p5_key_profile": _P5_LONG + "SELECT key_field, key_value, count(*) AS n, CAST(sum(v) AS BIGINT) AS lag_ms_total, min(v) AS lag_ms_min, max(v) AS lag_ms_max, quantile_disc(v, 0.5) AS lag_ms_p50, quantile_disc(v, 0.95) AS lag_ms_p95 FROM long GROUP BY 1, 2",
 }
