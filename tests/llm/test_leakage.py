@@ -72,6 +72,13 @@ def test_replaced_words_are_tolerated(spark):
     assert len(got) == 20 and all(x["similar_words"] >= 25 for x in got)
 
 
+def test_one_replaced_word_at_every_inner_place(spark):
+    item = VOCABULARY[:12]
+    docs = [(i, " ".join(["other" if j == i else w for j, w in enumerate(item)])) for i in range(12)]
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["similar_words"]) for r in got) == [(i, 12) for i in range(1, 11)]
+
+
 def test_overlap_of_a_line():
     a = np.array([1, 2, 3, 9, 5, 6, 7, 8])
     b = np.array([2, 3, 4, 5, 6, 0, 8])

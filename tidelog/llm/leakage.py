@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from tidelog.common import PRIVATE, cut, ident, rows_at_most
 from tidelog.llm.lookalike import form
 
-#: The masks; 1 counts, 0 is ignored. The window is 12 words, the shortest run that is a leak.
-MASKS = ("110110110111", "111011011011", "101111011101")
+#: The masks; 1 counts, 0 is ignored. The window is 12 words, the shortest run that is a leak. Every inner
+#: word is a hole of some mask, so one replaced word is found wherever it stands.
+MASKS = ("110110110111", "111011011011", "101111011101", "111101101111")
 
 #: log2 of the filter's bits (2 MB), whatever the number of items.
 FILTER_BITS = 24
@@ -191,8 +192,8 @@ def find_leaks(
     """Document and item pairs that share a passage: ``doc_id, item_id, exact_words, similar_words`` - the longest
     common run of words, and the longest with up to ``substitutions`` words replaced.
 
-    Every common run of at least the window's 12 words is found, and passages with replaced words where some mask
-    fits between the replacements. Words are compared by their look and without case. Null ids or texts, empty texts
+    Every common run of at least the window's 12 words is found, every such passage with one replaced word, and passages
+    with more of them where some mask fits between the replacements. Words are compared by their look and without case. Null ids or texts, empty texts
     and texts shorter than a window share nothing; an empty table on either side gives no rows; identical documents
     are each reported. Other columns are ignored.
     """
