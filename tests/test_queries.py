@@ -43,3 +43,9 @@ def test_every_query_has_a_place():
     import __spark_entry__
 
     assert set(SQL) <= set(QUERIES) and set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_snapshot_covers_most_of_its_tenant(spark):
+    seen = sum(r["count"] for r in QUERIES["scan_snapshot"](spark, FOLDER).collect())
+    of_tenant = spark.read.parquet(f"{FOLDER}/log_events.parquet").where("tenant_id = 'tn-harbor'").count()
+    assert 0.8 * of_tenant < seen < of_tenant

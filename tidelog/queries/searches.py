@@ -46,10 +46,11 @@ def session(spark: SparkSession, d: str, lookups: bool = False) -> Session:
 
 
 def add(name: str, search: str, sql: str | None = None, earliest: str | None = None, latest: str | None = None, lookups: bool = False, **options) -> None:
-    """Registers a search; without SQL it is checked by tests only."""
+    """Registers a search; without SQL it is checked by tests only. Options that are functions are taken from the tables."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return plain(session(spark, d, lookups).search(search, earliest, latest, now=NOW, ordered=False, **options))
+        given = {k: v(spark, d) if callable(v) else v for k, v in options.items()}
+        return plain(session(spark, d, lookups).search(search, earliest, latest, now=NOW, ordered=False, **given))
 
     run.__doc__ = search
     QUERIES[name] = run
@@ -57,6 +58,10 @@ def add(name: str, search: str, sql: str | None = None, earliest: str | None = N
         SQL[name] = sql
 
 
+def _most(spark: SparkSession, d: str, c) -> int:
+    return table(spark, d, "log_events").agg(c).first()[0]
+
+
 E = "index=events | "
 # scans and base predicates ------------------------------------------------------------------------------------------
 add("flagship_error_users", "index=events event_type=error | stats count AS n, avg(value) AS m BY user_id | sort 20 -n, +user_id",
@@ -65,7 +70,8 @@ add("scan_two_indexes", "index=orders OR index=customer | stats count BY index",
 add("scan_time_range", E + "stats count, sum(value) AS s BY event_type", "SELECT event_type, count(*) AS count, round(sum(value), 4) AS s FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("scan_relative_range", E + "stats count", "SELECT count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-25' AND ts < TIMESTAMP '2024-01-31 20:00:00'", "-7d@d", "-4h")
 add("scan_snapshot", "index=log_events | stats count BY index",
-    "SELECT index_name AS index, count(*) AS count FROM log_events WHERE tenant_id = 'tn-harbor' AND index_time <= TIMESTAMP '2023-01-04' AND visibility_seq <= 900 GROUP BY 1", tenant="tn-harbor", indexed_until=1_672_790_400.0, visible_until=900)
+    "SELECT index_name AS index, count(*) AS count FROM log_events WHERE tenant_id = 'tn-harbor' AND index_time <= (SELECT max(event_time) - INTERVAL 1 HOUR FROM log_events) AND visibility_seq <= (SELECT max(visibility_seq) * 9 // 10 FROM log_events) GROUP BY 1",
+    tenant="tn-harbor", indexed_until=lambda spark, d: _most(spark, d, F.unix_micros(F.max("event_time").cast("timestamp"))) / 1e6 - 3600, visible_until=lambda spark, d: _most(spark, d, F.max("visibility_seq")) * 9 // 10)
 add("search_term", "index=documents ticket | table doc_id", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])ticket([^A-Za-z0-9_]|$)')")
 add("search_phrase", 'index=documents "Open A ticket" | table doc_id', "SELECT doc_id FROM documents WHERE contains(lower(text), 'open a ticket')")
 add("search_field_compare", "index=events value>=50 event_type!=view user_id<100 | table event_id value", "SELECT event_id, value FROM events WHERE value >= 50 AND event_type <> 'view' AND user_id < 100")
