@@ -49,3 +49,10 @@ def test_snapshot_covers_most_of_its_tenant(spark):
     seen = sum(r["count"] for r in QUERIES["scan_snapshot"](spark, FOLDER).collect())
     of_tenant = spark.read.parquet(f"{FOLDER}/log_events.parquet").where("tenant_id = 'tn-harbor'").count()
     assert 0.8 * of_tenant < seen < of_tenant
+
+
+def test_list_and_timechart_take_every_user(spark):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    assert QUERIES["agg_list"](spark, FOLDER).count() == events.where("user_id is not null").select("user_id").distinct().count()
+    in_range = events.where("event_type = 'error' and ts >= timestamp'2024-01-10' and ts < timestamp'2024-01-20'").count()
+    assert sum(r["count"] for r in QUERIES["cmd_timechart"](spark, FOLDER).collect()) == in_range

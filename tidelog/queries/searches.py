@@ -183,7 +183,7 @@ add("agg_distinct", "index=log_events | stats dc(host) AS d, distinct_count(serv
 add("agg_estimated_distinct", "index=log_events | stats estdc(host) AS d, estdc_error(host) AS e BY index")
 add("agg_values_mode", "index=log_events | stats values(level) AS v, mode(sourcetype) AS m BY index",
     "SELECT index_name AS index, coalesce(array_to_string(list_sort(list(DISTINCT level) FILTER (level IS NOT NULL)), '|'), '') AS v, (SELECT x.sourcetype FROM log_events x WHERE x.index_name = y.index_name AND x.sourcetype IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, x.sourcetype LIMIT 1) AS m FROM log_events y GROUP BY index_name")
-add("agg_list", E + "where user_id < 5 | stats list(event_id) AS l BY user_id", "SELECT user_id, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC)[1:100], '|') AS l FROM events WHERE user_id < 5 GROUP BY 1")
+add("agg_list", E + "stats list(event_id) AS l BY user_id", "SELECT user_id, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC)[1:100], '|') AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1")
 add("agg_first_last", E + "stats first(value) AS f, last(event_id) AS l BY event_type",
     "SELECT event_type, round(arg_max(value, ts), 4) AS f, arg_min(event_id, ts) AS l FROM events GROUP BY 1")
 add("agg_first_after_sort", E + "sort 0 -value, event_id | stats first(event_id) AS f, last(event_id) AS l BY event_type", "SELECT event_type, first(event_id ORDER BY value DESC, event_id) AS f, last(event_id ORDER BY value DESC, event_id) AS l FROM events GROUP BY 1")
@@ -211,7 +211,7 @@ add("cmd_eventstats_extrema", E + "eventstats latest(value) AS l BY user_id | ev
 _SLOT = "CAST(floor(epoch_us(ts) / 21600e6) * 21600000000 AS BIGINT)"
 _GRID = "(SELECT unnest(range(1704844800000000, 1705708800000000, 21600000000)) AS _time)"
 _IN = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
-add("cmd_timechart", "index=events event_type=error user_id<20 | timechart span=6h count", f"SELECT _time, coalesce(c, 0) AS count FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, count(*) AS c FROM events WHERE {_IN} AND event_type = 'error' AND user_id < 20 GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
+add("cmd_timechart", "index=events event_type=error | timechart span=6h count", f"SELECT _time, coalesce(c, 0) AS count FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, count(*) AS c FROM events WHERE {_IN} AND event_type = 'error' GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_timechart_avg", E + "timechart span=6h avg(value) AS a", f"SELECT _time, a FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, round(avg(value), 4) AS a FROM events WHERE {_IN} GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_timechart_split", E + "timechart span=6h sum(value) BY event_type", "SELECT _time, " + ", ".join(f"{t} AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM events WHERE {_IN} GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_timechart_other", "index=log_events | timechart span=12h count BY index")
