@@ -32,6 +32,20 @@ def test_envelopes(spark):
     assert {r["id"] for r in got if r["problem"]} == {1, 2, 3}
 
 
+def test_envelopes_as_deep_as_allowed(spark):
+    nest = lambda n, start, end: '{"event":' + start * n + '"}]"' + end * n + "}"
+    kinds = {"objects": ('{"a":', "}"), "arrays": ("[", "]"), "both": ('{"a":[', "]}")}
+    bodies = [(f"{k}-{n}", '{"event":"before"}' + nest(n // (1 + (k == "both")), *kinds[k]) + '\n{"event":"after"}') for k in kinds for n in (4, 6, 8, 14, 16, 17, 18, 40) if k != "both" or n % 2 == 0]
+    long = '{"event":"' + "{x" * 100_000 + '"}' + '{"event":{"l":[' + ",".join(['{"k":[1]}'] * 20_000) + "]}}"
+    got = readers.split_envelopes(spark.createDataFrame([*bodies, ("long", long)], "id string, body string"), "body", received=when()).collect()
+    events = {k: [r["_raw"] for r in sorted(got, key=lambda r: r["event_no"]) if r["id"] == k and r["problem"] is None] for k, _ in bodies}
+    for k, body in bodies:
+        kind, n = k.split("-")
+        inner = nest(int(n) // (1 + (kind == "both")), *kinds[kind])[len('{"event":') : -1]
+        assert events[k] == (["before", inner, "after"] if int(n) <= 16 else []), k
+    assert {r["problem"] for r in got if r["id"].endswith(("-17", "-18", "-40"))} == {"invalid body"} and [r["problem"] for r in got if r["id"] == "long"] == [None, None]
+
+
 def test_raw_bodies_and_redaction(spark):
     df = spark.createDataFrame([(1, "a\r\n\nb\rc\n"), (2, None)], "id int, body string")
     assert [(r["id"], r["_raw"]) for r in readers.split_raw_body(df, "body").orderBy("line_no").collect()] == [(1, "a"), (1, "b\rc")]

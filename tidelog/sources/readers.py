@@ -87,24 +87,28 @@ def split_raw_body(bodies: DataFrame, body: str) -> DataFrame:
     return lines.where(line != "").select(*[ident(c) for c in kept], "line_no", line.alias("_raw"), line.alias("message"))
 
 
-#: A JSON object with its strings; nesting up to four levels is cut apart by pattern.
+#: Fixed value: levels of objects and arrays below an envelope; a deeper body is invalid.
+DEPTH = 16
+#: A JSON object with its strings, and the same with arrays counted as levels (which kind closes a level is left to the first).
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _OBJECT = rf'\{{(?:[^{{}}"]|{_STRING})*+\}}'
-for _ in range(5):
+_LEVELS = rf'[{{\[](?:[^{{}}\[\]"]|{_STRING})*+[}}\]]'
+for _ in range(DEPTH):
     _OBJECT = rf'\{{(?:[^{{}}"]|{_STRING}|{_OBJECT})*+\}}'
+    _LEVELS = rf'[{{\[](?:[^{{}}\[\]"]|{_STRING}|{_LEVELS})*+[}}\]]'
 
 
 def split_envelopes(bodies: DataFrame, body: str, *, received: Column | None = None, defaults: dict | None = None) -> DataFrame:
     """An event per envelope of a body of JSON objects one after another.
 
     Metadata come from the envelope, then from ``defaults``, then from fixed values; an envelope without a non-blank
-    event, or a body with anything between its objects, is an error of its row: ``problem`` says which, and the row
-    has no event. Columns of ``bodies`` other than the body are kept.
+    event, or a body with anything between its objects or levels deeper than ``DEPTH``, is an error of its row:
+    ``problem`` says which, and the row has no event. Columns of ``bodies`` other than the body are kept.
     """
     kept = [c for c in bodies.columns if c != body]
     text, given = ident(body), ENVELOPE_DEFAULTS | (defaults or {})
     received = F.current_timestamp() if received is None else received
-    between = F.trim(F.regexp_replace(F.regexp_replace(text, _OBJECT, ""), r"\s+", " "))
+    between = F.trim(F.regexp_replace(F.concat(*[F.regexp_replace(text, p, "") for p in (_OBJECT, _LEVELS)]), r"\s+", " "))
     rows = bodies.select(*[ident(c) for c in kept], between.alias(PRIVATE + "b"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(_OBJECT), F.lit(0))).alias("event_no", PRIVATE + "e"))
     e = F.col(PRIVATE + "e")
     get = lambda name: F.get_json_object(e, f"$.{name}")
