@@ -56,3 +56,9 @@ def test_list_and_timechart_take_every_user(spark):
     assert QUERIES["agg_list"](spark, FOLDER).count() == events.where("user_id is not null").select("user_id").distinct().count()
     in_range = events.where("event_type = 'error' and ts >= timestamp'2024-01-10' and ts < timestamp'2024-01-20'").count()
     assert sum(r["count"] for r in QUERIES["cmd_timechart"](spark, FOLDER).collect()) == in_range
+
+
+def test_json_lines_take_every_decoded_raw(spark):
+    got = {r["has_fields"]: r["count"] for r in QUERIES["source_json_lines"](spark, FOLDER).groupBy("has_fields").count().collect()}
+    raws = spark.read.parquet(f"{FOLDER}/log_events.parquet").where("raw_encoding = 1 and trim(raw) != ''")
+    assert sum(got.values()) == raws.count() and 0 < got[True] < got[False] + got[True]

@@ -296,13 +296,16 @@ def source_index_statistics(spark: SparkSession, d: str) -> DataFrame:
     return plain(readers.index_statistics(table(spark, d, "log_events"), "index_name", "event_time"))
 
 
-@register("SELECT visibility_seq, COALESCE(json_extract_string(raw, '$.level'), json_extract_string(raw, '$.severity'), json_extract_string(raw, '$.severity_text')) AS level, COALESCE(json_extract_string(raw, '$.message'), json_extract_string(raw, '$.msg'), json_extract_string(raw, '$.body')) AS message FROM log_events WHERE raw_encoding = 1 AND sourcetype = 'otel:json' AND json_valid(raw) AND raw LIKE '{%'")
+@register("""
+WITH r AS (SELECT visibility_seq, json_valid(raw) AND raw LIKE '{%' AS has_fields, CASE WHEN json_valid(raw) AND raw LIKE '{%' THEN raw END AS o FROM log_events WHERE raw_encoding = 1 AND trim(raw) <> '')
+SELECT visibility_seq, has_fields, COALESCE(json_extract_string(o, '$.level'), json_extract_string(o, '$.severity'), json_extract_string(o, '$.severity_text')) AS level,
+COALESCE(json_extract_string(o, '$.message'), json_extract_string(o, '$.msg'), json_extract_string(o, '$.body')) AS message FROM r""")
 def source_json_lines(spark: SparkSession, d: str) -> DataFrame:
-    """JSON events decoded by the canonical fields' aliases."""
-    lines = table(spark, d, "log_events").where("raw_encoding = 1 and sourcetype = 'otel:json'").select("visibility_seq", "raw")
+    """All decoded raws as JSON lines: the canonical fields by their aliases, and whether a line holds an object."""
+    lines = table(spark, d, "log_events").where("raw_encoding = 1").select("visibility_seq", "raw")
     got = readers.decode_json_lines(lines, "raw", received=F.lit("2024-01-01").cast("timestamp"))
-    back = lines.withColumnRenamed("raw", "r").join(got.where("fields is not null").select("_raw", "level", "message").distinct(), F.col("r") == F.col("_raw"))
-    return back.select("visibility_seq", "level", "message")
+    got = got.select("_raw", F.col("fields").isNotNull().alias("has_fields"), "level", "message").distinct()
+    return lines.join(got, F.col("raw") == F.col("_raw")).select("visibility_seq", "has_fields", "level", "message")
 
 
 @register("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE line <> ''")
