@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.operators import log_lines as logs
 
@@ -90,3 +91,23 @@ def test_assembling_lines_of_files(spark):
 
 def test_levels_cover_every_rank():
     assert set(logs.LEVELS) == {1, 2, 3, 4, 5, 6} and len({w for ws in logs.LEVELS.values() for w in ws}) == sum(map(len, logs.LEVELS.values()))
+
+
+def test_over_long_record_stays_one(spark):
+    lines = ["2024-03-01 10:00:00,123 - app - ERROR - first", *[f"  at frame {i}" for i in range(24)], "2024-03-01 10:00:01,000 - app - INFO - next"]
+    df = spark.createDataFrame([("f", i, x, "2024-03-02") for i, x in enumerate(lines)], "file string, no int, line string, at string").withColumn("at", F.col("at").cast("timestamp"))
+    whole = logs.parse_lines(df, "file", "no", "line", "at").orderBy("record_no").collect()
+    parts = logs.parse_lines(df, "file", "no", "line", "at", longest=10).orderBy("record_no", "part").collect()
+    assert [(r["record_no"], r["part"], r["n_lines"]) for r in parts] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 1)]
+    head = lambda r: (r["entry"]["layout"], r["entry"]["entry_us"], r["entry"]["level"], r["entry"]["component"])
+    assert head(whole[0])[0] != "plain" and {head(r) for r in parts[:3]} == {head(whole[0])} and head(parts[3]) == head(whole[1])
+    assert "\n".join(r["entry"]["message"] for r in parts[:3]) == whole[0]["entry"]["message"]
+
+
+def test_lines_give_the_entries_of_texts(spark):
+    from tidelog.queries import problems
+
+    d = "/root/testdata/sf0.001"
+    names = ["visibility_seq", "layout", "entry_us", "level", "component", "message", "n_lines"]
+    key = lambda df: sorted((tuple(r) for r in df.where("layout is not null").select(*names).collect()), key=repr)
+    assert key(problems.QUERIES["p6_lines"](spark, d)) == key(problems.QUERIES["p6_entries"](spark, d))

@@ -253,6 +253,21 @@ def assemble_records(lines: DataFrame, file: str, line_no: str, line: str, *, bl
     )
 
 
+def parse_lines(lines: DataFrame, file: str, line_no: str, line: str, near: str, *, block: int = 100_000, longest: int = 10_000) -> DataFrame:
+    """Lines of files into parsed records: the columns of ``assemble_records`` without ``text``, and ``entry``.
+
+    ``near`` is a time of the line's file; its earliest is used. Of a record in several parts only the first is
+    parsed: later parts have its layout, time, level and component, and their own text as message.
+    """
+    recs = assemble_records(lines, file, line_no, line, block=block, longest=longest)
+    times = lines.groupBy(ident(file).alias(PRIVATE + "f")).agg(F.min(micros(near)).alias(PRIVATE + "near"))
+    recs = recs.join(times, recs["file"].eqNullSafe(times[PRIVATE + "f"]), "left").drop(PRIVATE + "f")
+    heads = parse_records(recs.where("part = 0"), "text", PRIVATE + "near").drop("text", PRIVATE + "near")
+    rest = recs.where("part > 0").alias("p").join(heads.select("file", "record_no", "entry").alias("h"), F.expr("p.file <=> h.file AND p.record_no = h.record_no"))
+    later = rest.select("p.file", "p.record_no", "p.part", "p.first_line", "p.n_lines", F.col("h.entry").withField("message", F.col("p.text")).withField("n_lines", F.col("p.n_lines").cast("int")).alias("entry"))
+    return heads.select(*later.columns).unionByName(later)
+
+
 def severe_entries(df: DataFrame, raw: str, near: str, keep: Sequence[str], least: int = ERROR) -> DataFrame:
     """The rows whose text, by its first record, states at least the level ``least``: ``keep``, ``entry_epoch``
     (seconds, fraction dropped) and ``component``. Texts that state no level are left out."""

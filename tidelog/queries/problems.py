@@ -101,6 +101,13 @@ def p6_entries(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("visibility_seq", "record_no", "entry.layout", "entry.entry_us", "entry.level", "entry.component", "entry.message", "entry.n_lines")
 
 
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The entries again, from raws as files of lines."""
+    raws = table(spark, d, "log_events").where("raw_encoding = 1").select("visibility_seq", "index_time", F.posexplode(F.split("raw", "\n", -1)).alias("line_no", "line"))
+    rows = logs.parse_lines(raws, "visibility_seq", "line_no", "line", "index_time")
+    return rows.select(F.col("file").alias("visibility_seq"), "record_no", "part", "entry.layout", "entry.entry_us", "entry.level", "entry.component", "entry.message", "entry.n_lines")
+
+
 _P6 = r"""
 WITH r AS (SELECT visibility_seq, index_time, replace(raw, chr(13), '') AS raw FROM log_events WHERE raw_encoding = 1),
 k AS (SELECT *, CASE
@@ -136,7 +143,7 @@ SELECT visibility_seq, CASE WHEN lay = 'pino' THEN CAST(ts AS BIGINT) // 1000 WH
 FROM y
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries, p6_lines)}
 
 SQL = {
     "p1_found": _P1_ROWS + "SELECT index_name, period_start FROM marked GROUP BY 1, 2 HAVING count(*) FILTER (late) >= 1 AND 4 * count(*) FILTER (late) >= count(*) FILTER (ok)",
