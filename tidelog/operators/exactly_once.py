@@ -1,7 +1,7 @@
 """Exactly one copy of every message that was delivered at least once.
 
-One aggregation gives every identity's frequency and, as a mergeable minimum, the copy that ranks first. Identities
-that occur once pass as they are; only repeated ones are ranked. Which rows to keep or to drop then follows from a
+One aggregation gives every identity's frequency and, as a mergeable minimum, the copy that ranks first. It does
+so for every identity, those that occur once too. Which rows to keep or to drop then follows from a
 join on the row's own unique number, not on the identity, so that an identity with a third of all rows is spread
 over all tasks like any other rows.
 """
