@@ -1,8 +1,8 @@
 """One form for texts that look the same but are written with different characters.
 
-A transducer is compiled once per process from rules and a small fixed table: every source - a code point, or a base
-character with its accents - is mapped to the characters that it looks like. It runs over grapheme clusters in one
-pass and takes the longest source that is in its table. The table is checked when it is built: no target may be
+A transducer is compiled once per process from rules and a small fixed table: every source, a code point, is mapped to
+the characters that it looks like. It runs over grapheme clusters; a base and its accents are composed by NFC, in the
+cluster, longest first, and at the end over the whole text, for ASCII bases. The table is checked when it is built: no target may be
 rewritten again, and a mapping must keep case, accents and digits, so texts that differ in those stay apart.
 """
 
