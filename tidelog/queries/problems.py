@@ -54,7 +54,7 @@ def p4_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_copies(spark: SparkSession, d: str) -> DataFrame:
-    return once.copy_counts(table(spark, d, "log_events"), IDENTITY, "collected_at", "visibility_seq")
+    return once.copy_counts(table(spark, d, "log_events"), IDENTITY)
 
 
 _P4_RANKED = """
