@@ -32,10 +32,11 @@ def test_exact_with_hot_keys_ties_and_nulls(spark, seed):
 
 
 def test_extremes_one_value_and_empty(spark):
-    rows = [("k", None, skew.VALUE_BOUND - 1, 1, "c", 2), ("k", None, -skew.VALUE_BOUND + 1, 1, "c", 2), ("k", None, 0, 1, "c", 2), ("z", "q", None, 1, "c", 2)]
+    rows = [("k", None, 2**63 - 1, 1, "c", 2), ("k", None, -(2**63), 1, "c", 2), ("k", None, 2**62, 1, "c", 2), ("k", None, 0, 1, "c", 2), ("z", "q", None, 1, "c", 2)]
     assert run(spark, rows, 1024) == brute(rows)
     assert run(spark, [("k", "k", 3, 1, "c", 2)] * 5) == brute([("k", "k", 3, 1, "c", 2)] * 5)
-    assert run(spark, []) == {}
+    assert run(spark, [("k", "k", -1, 1, "c", 2), ("k", "k", 0, 1, "c", 2)]) == brute([("k", "k", -1, 1, "c", 2), ("k", "k", 0, 1, "c", 2)])
+    assert run(spark, []) == {} and run(spark, [("k", None, None, 1, "c", 2)]) == {("a", "k"): (1, 0, None, None), ("b", None): (1, 0, None, None)}
 
 
 def test_shuffled_state_gives_the_same(spark, monkeypatch):
@@ -46,5 +47,23 @@ def test_shuffled_state_gives_the_same(spark, monkeypatch):
 
 def test_heavy_keys(spark):
     rows = [("hot", "", 1, 1, "c", 2)] * 95 + [("cold", None, 1, 1, "c", 2)] * 4 + [(None, "x", 1, 1, "c", 2)]
-    got = skew.heavy_keys(skew.key_totals(spark.createDataFrame(rows, SCHEMA), ["a", "b"], "v"), 0.05)
-    assert [(r["key_field"], r["key_value"]) for r in got.collect()] == [("a", "hot")]
+    got = skew.heavy_keys(spark.createDataFrame(rows, SCHEMA), ["a", "b"], 0.05)
+    assert [tuple(r) for r in got.collect()] == [("a", "hot", 95)]
+    assert skew.heavy_keys(spark.createDataFrame([], SCHEMA), ["a", "b"], 0.05).count() == 0
+
+
+@pytest.mark.parametrize("bits", [32, 4])
+def test_heavy_keys_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(skew, "HASH_BITS", bits)  # with 4 bits many values share a hash
+    monkeypatch.setattr(skew, "FIRST_BITS", bits // 2)
+    r = random.Random(bits)
+    rows = [(r.choice([*"abcdefgh"] * 3 + [None, ""] + [f"v{i}" for i in range(40)]), str(int(r.expovariate(0.2))), 1, 1, "c", 2) for _ in range(600)]
+    want = {(f, k) for f, i in (("a", 0), ("b", 1)) for k in {x[i] for x in rows} if k and sum(x[i] == k for x in rows) >= 0.05 * len(rows)}
+    got = skew.heavy_keys(spark.createDataFrame(rows, SCHEMA), ["a", "b"], 0.05).collect()
+    assert {(x["key_field"], x["key_value"]) for x in got} == want and len(want) > 6
+    assert all(x["n"] == sum(y[0 if x["key_field"] == "a" else 1] == x["key_value"] for y in rows) for x in got)
+
+
+def test_values_at_exactly_the_share(spark):
+    rows = [(str(i % 20), "k", 1, 1, "c", 2) for i in range(200)]  # each value holds exactly a twentieth
+    assert skew.heavy_keys(spark.createDataFrame(rows, SCHEMA), ["a"], 0.05).count() == 20

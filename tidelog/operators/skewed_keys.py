@@ -1,36 +1,40 @@
 """Totals and exact quantiles per key when a few keys hold most rows.
 
-No task ever sees the values of a key together. Every pass over the data reduces rows to histograms - counts per
-key and value bucket, combined before the shuffle - and from their running sums finds, for each key and rank, the
-one bucket that holds the rank. The next pass splits that bucket again, until a bucket is a single value.
+No task ever sees the values of a key together. Every pass over the data reduces rows to histograms - counts per key
+and leading bits of the value, combined before the shuffle - and their running sums give, for each key and rank, the
+one bucket that holds the rank. The next pass splits that bucket by further bits, until a bucket is a single value.
+Buckets are values shifted right, which keeps their order over the whole range of 64-bit integers.
+
+The same selection finds the values that hold a share of all rows: in the order of their hashes such a value can't lie
+between two ranks that are the share apart, so the selected ranks name every one of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, cut, div, ident, rows_at_most
-
-#: Values are taken as 64-bit integers within this bound on either side; those beyond count as the bound itself.
-VALUE_BOUND = 2**61
+from tidelog.common import PRIVATE, cut, ident, rows_at_most
 
-#: Keys' intervals are broadcast up to this many rows (some 20 MB); beyond it they are joined by a shuffle in which
-#: the rows of a key are spread over ``SPLIT`` tasks.
+#: Keys' intervals are broadcast up to this many rows (some 20 MB). Beyond it rows are counted by key and bucket first
+#: and the counts meet the intervals by key and interval, of which each has no more than a pass's buckets.
 BROADCAST_ROWS = 200_000
-SPLIT = 16
+
+#: Bits of the hash by which ``heavy_keys`` orders values, and bits resolved in its first pass.
+HASH_BITS, FIRST_BITS = 32, 16
+
+_B, _PRE, _KV = PRIVATE + "b", PRIVATE + "pre", PRIVATE + "kv"
 
 
-def _long_form(df: DataFrame, key_fields: Sequence[str], value: str) -> DataFrame:
-    """One row per row and key field: key_field, key_value, v."""
-    v = ident(value).cast("long")
-    v = F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(-VALUE_BOUND)), F.lit(VALUE_BOUND)))
+def _long_form(df: DataFrame, key_fields: Sequence[str], value: Column) -> DataFrame:
+    """One row per row and key field: key_field, key_value, and ``v``, which is computed from the row or the key."""
+    kv = F.col("k.key_value")
     return df.select(
-        F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), ident(k).cast("string").alias("key_value")) for k in key_fields])).alias("k"), v.alias("v"),
-    ).select("k.key_field", "k.key_value", "v")
+        F.explode(F.array(*[F.struct(F.lit(k).alias("key_field"), ident(k).cast("string").alias("key_value")) for k in key_fields])).alias("k"), value.alias("v"),
+    ).select("k.key_field", "k.key_value", F.coalesce(F.concat(F.lit("="), kv), F.lit("")).alias(_KV), "v")
 
 
 def key_totals(df: DataFrame, key_fields: Sequence[str], value: str) -> DataFrame:
@@ -39,63 +43,95 @@ def key_totals(df: DataFrame, key_fields: Sequence[str], value: str) -> DataFram
     Combined before the shuffle, so a hot key sends one row per task. A null key is a key. ``total`` is a decimal,
     which doesn't overflow.
     """
-    return _long_form(df, key_fields, value).groupBy("key_field", "key_value").agg(
+    return _long_form(df, key_fields, ident(value).cast("long")).groupBy("key_field", "key_value").agg(
         F.count(F.lit(1)).alias("n"), F.count("v").alias("n_values"), F.sum(F.col("v").cast("decimal(20,0)")).alias("total"), F.min("v").alias("lo"), F.max("v").alias("hi"),
     )
 
 
+def _bucket(v: Column, shift: int) -> Column:
+    return F.lit(0).cast("long") if shift > 63 else F.call_function("shiftright", v, F.lit(shift))
+
+
+def _histogram(long: DataFrame, open_: DataFrame | None, was: int, to: int) -> DataFrame:
+    """Counts of the values by their bits above ``to``, in the open intervals (values that agree in the bits above ``was``)."""
+    rows = long.select("key_field", _KV, _bucket(F.col("v"), was).alias(_PRE), _bucket(F.col("v"), to).alias(_B))
+    count = lambda x: x.groupBy("key_field", _KV, _PRE, _B).agg(F.count(F.lit(1)).alias("c"))
+    if open_ is None:
+        return count(rows)
+    intervals = open_.select("key_field", _KV, _PRE).distinct()
+    if rows_at_most(intervals, BROADCAST_ROWS):
+        return count(rows.join(F.broadcast(intervals), ["key_field", _KV, _PRE], "left_semi"))
+    return count(rows).join(intervals, ["key_field", _KV, _PRE], "left_semi")
+
+
+def _narrow(state: DataFrame, counts: DataFrame) -> DataFrame:
+    """The state with every interval replaced by the bucket in it that holds the rank; ``at`` rows lie in the bucket."""
+    w = Window.partitionBy("key_field", _KV, _PRE).orderBy(_B)  # as many rows as a pass has buckets
+    runs = counts.withColumn("upto", F.sum("c").over(w))
+    hit = state.drop("at").join(runs, ["key_field", _KV, _PRE]).where("rank <= upto and rank > upto - c")
+    return hit.select("key_field", _KV, "qi", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col(_B).alias(_PRE), F.col("c").alias("at"))
+
+
+def _steps(bits: int, buckets: int) -> Iterator[tuple[int, int]]:
+    """Pairs of bits that are open before and after a pass: as few passes as the buckets allow, of equal work."""
+    passes = max(1, math.ceil(bits / max(1, buckets.bit_length() - 1)))
+    ends = [64, *[bits - round(bits * (i + 1) / passes) for i in range(passes)]]
+    return zip(ends, ends[1:])
+
+
 def keyed_selection(
-    df: DataFrame, key_fields: Sequence[str], value: str, quantiles: Sequence[float], buckets: int = 1024,
+    df: DataFrame, key_fields: Sequence[str], value: str, quantiles: Sequence[float], buckets: int = 2048,
 ) -> DataFrame:
     """Totals and exact nearest-rank quantiles of an integer column for every value of every key field.
 
     One row per key: ``key_field, key_value, n, n_values, total, lo, hi`` and ``quantiles``, an array of the values
     at the ranks ceil(q * n_values), in the order of ``quantiles``; null for a key without values. Null keys are keys
     of their own, the empty string too; ties and repeated rows count as often as they occur; an empty table gives no
-    rows; other columns are ignored. Each pass divides the intervals by ``buckets``.
+    rows; other columns are ignored. Any 64-bit integers will do. Each pass divides the intervals by up to ``buckets``.
     """
     totals = cut(key_totals(df, key_fields, value))
     q = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)]))
     rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q.q") * F.col("n_values"), 6))).cast("long")
-    state = totals.where("n_values > 0").select("key_field", "key_value", "lo", "hi", "n_values", q.alias("q")).select("key_field", "key_value", F.col("q.qi").alias("qi"), rank.alias("rank"), "lo", "hi")
-    widest = totals.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
-    passes = 0 if widest == 0 else max(1, math.ceil(math.log(widest + 1, buckets) - 1e-9))
-    long = _long_form(df, key_fields, value).where("v is not null")
-    for _ in range(passes):
-        state = cut(_refine(long, state, buckets))
-    found = state.groupBy("key_field", "key_value").agg(F.array_sort(F.collect_list(F.struct("qi", "lo"))).alias("f")).select(
-        F.col("key_field").alias(PRIVATE + "f"), F.col("key_value").alias(PRIVATE + "k"), F.col("f.lo").alias("quantiles"),
-    )
-    on = (F.col("key_field") == F.col(PRIVATE + "f")) & F.col("key_value").eqNullSafe(F.col(PRIVATE + "k"))
-    return totals.join(found, on, "left").drop(PRIVATE + "f", PRIVATE + "k")
-
-
-def _refine(long: DataFrame, state: DataFrame, buckets: int) -> DataFrame:
-    """The state with every interval replaced by the one of its ``buckets`` parts that holds the rank."""
-    state = state.withColumn("step", div(F.col("hi") - F.col("lo"), F.lit(buckets)) + F.lit(1))
-    open_ = state.where("hi > lo")
-    per_key = open_.groupBy("key_field", "key_value").agg(F.collect_list(F.struct("qi", "lo", "hi", "step")).alias("parts"))
-    on = ["key_field", "kv"]
-    left, right = long.withColumn("kv", F.coalesce(F.concat(F.lit("="), F.col("key_value")), F.lit(""))), per_key.select("key_field", F.coalesce(F.concat(F.lit("="), F.col("key_value")), F.lit("")).alias("kv"), "parts")
-    if rows_at_most(per_key, BROADCAST_ROWS):
-        right = F.broadcast(right)
-    else:
-        left = left.withColumn("salt", (F.abs(F.hash("v")) % F.lit(SPLIT)))
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
-        on = [*on, "salt"]
-    within = left.join(right, on).select("key_field", "key_value", "v", F.explode("parts").alias("p")).where("v between p.lo and p.hi")
-    counts = within.groupBy("key_field", "key_value", F.col("p.qi").alias("qi"), div(F.col("v") - F.col("p.lo"), F.col("p.step")).alias("b")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("key_field", "key_value", "qi").orderBy("b")  # at most ``buckets`` rows
-    runs = counts.withColumn("upto", F.sum("c").over(w)).withColumnsRenamed({"key_field": "f2", "key_value": "k2", "qi": "q2"})
-    hit = open_.join(runs, (F.col("key_field") == F.col("f2")) & F.col("key_value").eqNullSafe(F.col("k2")) & (F.col("qi") == F.col("q2")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
-    lo = F.col("lo") + F.col("b") * F.col("step")
-    closer = hit.select("key_field", "key_value", "qi", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), lo.alias("lo"), F.least(F.col("hi"), lo + F.col("step") - 1).alias("hi"))
-    return closer.unionByName(state.where("hi <= lo").drop("step"))
-
-
-def heavy_keys(selected: DataFrame, share: float) -> DataFrame:
-    """Of the rows of ``keyed_selection`` or ``key_totals`` those keys that are neither null nor empty and hold at
-    least ``share`` of all rows. Every row counts once per key field, so a field's ``n`` adds up to all rows."""
-    rows = selected.groupBy("key_field").agg(F.sum("n").alias(PRIVATE + "all")).withColumnRenamed("key_field", PRIVATE + "f")
-    # as many rows as key fields were named
-    return selected.join(F.broadcast(rows), F.col("key_field") == F.col(PRIVATE + "f")).where((F.col("key_value") != "") & (F.col("n") >= F.lit(share) * F.col(PRIVATE + "all"))).drop(PRIVATE + "f", PRIVATE + "all")
+    kv = F.coalesce(F.concat(F.lit("="), F.col("key_value")), F.lit(""))
+    state = totals.where("n_values > 0").select("key_field", kv.alias(_KV), "n_values", q.alias("q")).select("key_field", _KV, F.col("q.qi").alias("qi"), rank.alias("rank"), F.lit(0).cast("long").alias(_PRE))
+    lo, hi = totals.agg(F.min("lo"), F.max("hi")).first()
+    if lo is None:
+        return totals.withColumn("quantiles", F.lit(None).cast("array<bigint>"))
+    bits = 1 + max((x if x >= 0 else ~x).bit_length() for x in (lo, hi))  # with the sign
+    long = _long_form(df, key_fields, ident(value).cast("long")).where("v is not null")
+    first = True
+    for was, to in _steps(bits, buckets):
+        state = cut(_narrow(state, _histogram(long, None if first else state, was, to)))
+        first = False
+    found = state.groupBy("key_field", _KV).agg(F.array_sort(F.collect_list(F.struct("qi", F.col(_PRE).alias("v")))).alias("f"))
+    found = found.select(F.col("key_field"), F.col(_KV), F.col("f.v").alias("quantiles"))
+    return totals.withColumn(_KV, kv).join(found, ["key_field", _KV], "left").select(*totals.columns, "quantiles")
+
+
+def heavy_keys(df: DataFrame, key_fields: Sequence[str], share: float) -> DataFrame:
+    """The values, neither null nor empty, that hold at least ``share`` of all rows: ``key_field, key_value, n``.
+
+    Values are ordered by ``HASH_BITS`` bits of a hash. One that holds the share of all rows covers a rank that is a
+    multiple of it, so the selection of these ranks - at most 1 / ``share`` a field - finds its hash, and the count of
+    the last histogram says whether that hash is frequent enough. The frequent hashes' values are then counted as
+    they are written, which parts values of the same hash. Every row counts, repeated rows as often as they occur; an
+    empty table gives no rows; other columns are ignored.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share lies between 0 and 1")
+    kv = F.col("key_value")
+    rows = _long_form(df, key_fields, F.lit(None).cast("long")).withColumn("v", F.when(kv != "", F.pmod(F.xxhash64(kv), F.lit(2**HASH_BITS))))
+    hashed = rows.withColumn(_KV, F.lit(""))
+    rough = HASH_BITS - FIRST_BITS
+    counts = cut(_histogram(hashed, None, 64, rough))  # values that don't count have the bucket null
+    sums = counts.groupBy("key_field").agg(F.sum("c").alias("n"), F.sum(F.when(F.col(_B).isNotNull(), F.col("c"))).alias("n_values"))
+    least = F.ceil(F.round(F.lit(float(share)) * F.col("n"), 6)).cast("long")
+    ranks = F.when(F.col("n_values") >= F.col("least"), F.sequence(F.col("least"), F.col("n_values"), F.col("least")))
+    sums = sums.withColumn("least", F.greatest(least, F.lit(1)))
+    state = sums.select("key_field", F.lit("").alias(_KV), F.posexplode(ranks).alias("qi", "rank")).withColumn(_PRE, F.lit(0).cast("long"))
+    state = cut(_narrow(state, counts.where(F.col(_B).isNotNull())))
+    state = cut(_narrow(state, _histogram(hashed, state, rough, 0)))
+    limits = sums.select("key_field", "least")
+    frequent = state.join(F.broadcast(limits), "key_field").where("at >= least").select("key_field", F.col(_PRE).alias("v"), "least").distinct()
+    # at most 1 / share rows a field
+    return rows.join(F.broadcast(frequent), ["key_field", "v"]).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").drop("least")

@@ -74,7 +74,7 @@ def _selected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return skew.heavy_keys(_selected(spark, d), 0.05).select("key_field", "key_value")
+    return skew.heavy_keys(table(spark, d, "log_events"), KEY_FIELDS, 0.05).select("key_field", "key_value")
 
 
 def p5_key_profile(spark: SparkSession, d: str) -> DataFrame:
