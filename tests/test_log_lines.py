@@ -75,6 +75,14 @@ def test_records_within_a_text(spark):
     assert [(r["entry"]["component"], r["entry"]["message"], r["entry"]["n_lines"]) for r in rows] == [("a", "one\n  more", 2), ("b", "two\nTraceback", 2)]
 
 
+def test_every_severe_record_of_a_text_counts(spark):
+    text = "2023-01-03 09:46:36,923 - a - INFO - one\n  more\n2023-01-03 09:46:37,000 - b - ERROR - two\nTraceback\n2023-01-03 09:46:39,000 - c - CRITICAL - three"
+    got = logs.severe_entries(spark.createDataFrame([(5, text, NEAR, "x", 3)], "id long, raw string, near timestamp, entry string, record_no int"), "raw", "near", ["id", "entry"])
+    assert sorted(tuple(r) for r in got.collect()) == [(5, "x", at(2023, 1, 3, 9, 46, 37), "b"), (5, "x", at(2023, 1, 3, 9, 46, 39), "c")]
+    many = "\n".join(f"2023-01-03 09:46:37,000 - b{i} - ERROR - two\n  cont" for i in range(20_000))
+    assert logs.severe_entries(spark.createDataFrame([(5, many, NEAR)], "id long, raw string, near timestamp"), "raw", "near", ["id"]).count() == 20_000
+
+
 def test_assembling_lines_of_files(spark):
     starts = {0, 3, 4, 11, 12, 25}
     rows = [("f", i, f"2023-01-03 09:46:{i:02d},0 x" if i in starts else f"  cont {i}", "extra") for i in range(30)]

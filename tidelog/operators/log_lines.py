@@ -41,6 +41,8 @@ LEVELS = {
     5: ("ERROR", "ERR", "EROR", "E", "SEVERE"),
     6: ("FATAL", "F", "CRITICAL", "CRIT", "CRT", "C", "PANIC", "DPANIC", "EMERG", "ALERT"),
 }
+#: What marks a line at which a text's running count of record starts rises.
+_RISE = "\x1e\x1f\x1e"
 LEVEL_NAMES = ("trace", "debug", "info", "warn", "error", "fatal")
 ERROR = 5
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
@@ -212,11 +214,15 @@ def parse_records(df: DataFrame, record: str, near_us: str, entry: str = "entry"
 
 
 def records_of(raw: Column) -> Column:
-    """The records of a text that is a file by itself: split before every line that starts a record.
+    """The records of a text that is a file by itself: its lines, grouped by the running count of record starts.
 
-    Lines before the first start belong to the first record; null gives null.
+    Every line is held against the header expressions; the text is put together again with a mark where the count
+    rises and parted there, which takes one pass however many lines and records there are. Lines before the first
+    start belong to the first record; a CR at the end of a record that another one follows is dropped; null gives null.
     """
-    return F.split(F.regexp_replace(raw, r"\r?\n(?=" + RECORD_START + ")", "\x1e"), "\x1e")
+    lines = F.split(raw, "\n", -1)
+    marked = F.transform(lines, lambda line, i: F.when((i > 0) & line.rlike("^(?:" + RECORD_START + ")"), F.concat(F.lit(_RISE), line)).otherwise(line))
+    return F.when(F.contains(raw, F.lit("\n")), F.split(F.array_join(marked, "\n"), "\r?\n" + _RISE, -1)).otherwise(F.when(raw.isNotNull(), F.array(raw)))
 
 
 def parse_texts(df: DataFrame, raw: str, near: str) -> DataFrame:
@@ -269,11 +275,12 @@ def parse_lines(lines: DataFrame, file: str, line_no: str, line: str, near: str,
 
 
 def severe_entries(df: DataFrame, raw: str, near: str, keep: Sequence[str], least: int = ERROR) -> DataFrame:
-    """The rows whose text, by its first record, states at least the level ``least``: ``keep``, ``entry_epoch``
-    (seconds, fraction dropped) and ``component``. Texts that state no level are left out."""
-    rows = df.select(*[ident(c) for c in keep], micros(near).alias(PRIVATE + "near"), F.explode(F.slice(records_of(ident(raw)), 1, 1)).alias(PRIVATE + "record"))
-    rows = parse_records(rows, PRIVATE + "record", PRIVATE + "near", PRIVATE + "e")
-    us = F.col(PRIVATE + "e.entry_us")
-    return rows.where(F.col(PRIVATE + "e.level_rank") >= F.lit(least)).select(
-        *[ident(c) for c in keep], div(us - F.pmod(us, F.lit(1_000_000)), F.lit(1_000_000)).alias("entry_epoch"), F.col(PRIVATE + "e.component").alias("component"),
+    """Every record of the rows' texts that states at least the level ``least``: ``keep``, ``entry_epoch`` (seconds,
+    fraction dropped) and ``component``. A text with several such records has a row for each; records that state no
+    level, null and empty texts have none."""
+    kept = [ident(c).alias(f"{PRIVATE}k{i}") for i, c in enumerate(keep)]
+    rows = parse_texts(df.select(*kept, ident(raw).alias(PRIVATE + "raw"), ident(near).alias(PRIVATE + "n")), PRIVATE + "raw", PRIVATE + "n")
+    us = F.col("entry.entry_us")
+    return rows.where(F.col("entry.level_rank") >= F.lit(least)).select(
+        *[F.col(f"{PRIVATE}k{i}").alias(c) for i, c in enumerate(keep)], div(us - F.pmod(us, F.lit(1_000_000)), F.lit(1_000_000)).alias("entry_epoch"), F.col("entry.component").alias("component"),
     )
