@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +46,17 @@ def div(a: Column, b: Column) -> Column:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (local runs and tests) a temporary folder is used.
+    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a session that runs in one process
+    (local runs and tests) gets a temporary folder where that is unset; on a cluster, whose machines don't share
+    such a folder, it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelog-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidelog-"))
     return df.checkpoint(eager=True)
 
 
