@@ -35,6 +35,20 @@ def test_every_code_point_is_stable():
         assert t.apply(once) == once, hex(cp)
 
 
+def test_one_pass_gives_what_composing_the_whole_text_would():
+    t, r = lookalike.transducer(), random.Random(1)
+    pool = [chr(c) for c in [*range(0x41, 0x7B), *range(0xC0, 0x250), *range(0x300, 0x345), *range(0x386, 0x460), *range(0x1100, 0x1180), *range(0x11A8, 0x11C3), *range(0x1E00, 0x1F00), 0x200B, 0xFF9E, 0xFF76, 0x9C7, 0x9BE, 0xAC00, 0xFB01]]
+    for _ in range(30_000):
+        text = "".join(r.choice(pool) for _ in range(r.randrange(1, 7)))
+        assert form(text) == unicodedata.normalize("NFC", "".join(t._parts.get(c, c) for c in text)), [hex(ord(c)) for c in text]
+
+
+def test_sequences_are_in_the_table():
+    table = lookalike.transducer().table
+    assert table["e\u0301"] == "\u00e9" and table["a\u0302\u0301"] == table["\u00e2\u0301"] == "\u1ea5" and table["\u1112\u1161\u11ab"] == "\ud55c"
+    assert sum(len(k) > 1 for k in table) > 10_000
+
+
 def test_conflicts_are_refused():
     with pytest.raises(ValueError):
         Transducer([("а", "a"), ("а", "o")])
@@ -63,7 +77,9 @@ def variants(text, r):
     return "".join(out)
 
 
-def test_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("members", [100_000, 2])
+def test_pairs_against_brute_force(spark, monkeypatch, members):
+    monkeypatch.setattr(lookalike, "MEMBERS", members)
     r = random.Random(4)
     base = ["the alert of Peñalta é", "index main 42", "index main 43", "Index main 42", "", "naïve"]
     texts = [variants(t, r) if r.random() < 0.6 else t for t in base for _ in range(6)] + [None, None]
