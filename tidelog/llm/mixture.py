@@ -3,7 +3,9 @@
 Budgets run down a tree, domain - language - source. At every node the node's tokens are divided among its children
 by weight; a child that can't give its part gives what it has, and its siblings make up for it in proportion to
 their weights. Only what a whole node lacks is passed on to that node's own siblings. Each leaf then gives the first
-tokens of its documents in a seeded order, epoch by epoch.
+tokens of its documents in a seeded order, epoch by epoch. Texts are whole: the one that crosses a leaf's budget is
+taken or left by a seeded draw, in proportion to the part of it that fits, so that many small leaves come out right
+together.
 """
 
 from __future__ import annotations
@@ -96,14 +98,15 @@ def _fill(nodes: DataFrame, parent: Sequence[str], amount: str, out: str) -> Dat
     return rows.withColumn(out, F.when(F.col("weight") > 0, F.when(full, F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * F.col("at")))).otherwise(0.0)).drop("before_cap", "rest", "level", "ratio", "at")
 
 
-def budgets(leaves: DataFrame, levels: Sequence[str]) -> DataFrame:
+def budgets(leaves: DataFrame, levels: Sequence[str], tokens: str = "tokens") -> DataFrame:
     """The leaves with ``goal`` (all tokens), ``target`` (the leaf's part by weight alone), ``cap`` (its tokens times
-    its repeats) and ``budget`` (what it is to give). Budgets add up to the goal unless all sources together can't."""
-    goal = leaves.agg(F.sum("all_tokens").cast("double").alias("goal"), F.sum("weight").alias("all_weight"))
-    rows = leaves.withColumn("cap", (F.col("tokens") * F.col("max_repeats")).cast("double")).crossJoin(F.broadcast(goal))  # one row
+    its repeats) and ``budget`` (what it is to give). Budgets add up to the goal unless all sources together can't.
+    ``tokens`` names the column of what a leaf has: each text once, or ``all_tokens`` with copies counted."""
+    leaves = leaves.withColumn("cap", (ident(tokens) * F.col("max_repeats")).cast("double"))
+    goal = leaves.agg(F.sum("all_tokens").cast("double").alias("goal"), F.sum("weight").alias("all_weight"), F.sum("cap").alias("all_cap"))
+    rows = leaves.crossJoin(F.broadcast(goal))  # one row
     rows = rows.withColumn("target", F.when(F.col("all_weight") > 0, F.col("goal") * F.col("weight") / F.col("all_weight")).otherwise(0.0))
-    amount = F.least(F.col("goal"), F.sum("cap").over(Window.partitionBy(F.lit(0))))
-    given = rows.withColumn("give", amount)
+    given = rows.withColumn("give", F.least("goal", "all_cap"))
     for depth in range(1, len(levels) + 1):
         node, parent = [*levels[:depth]], [*levels[: depth - 1]]
         # a node's own row, made from its leaves, gets its part of what its parent has
@@ -111,22 +114,30 @@ def budgets(leaves: DataFrame, levels: Sequence[str]) -> DataFrame:
         part = _fill(sums, parent, "give", "part").select(*[ident(x).alias(f"{PRIVATE}{i}") for i, x in enumerate(node)], "part")
         on = functools.reduce(Column.__and__, [ident(x).eqNullSafe(F.col(f"{PRIVATE}{i}")) for i, x in enumerate(node)])
         given = given.drop("give").join(part, on).drop(*[f"{PRIVATE}{i}" for i in range(depth)]).withColumnRenamed("part", "give")
-    return given.withColumnRenamed("give", "budget").drop("all_weight")
+    return given.withColumnRenamed("give", "budget").drop("all_weight", "all_cap")
+
+
+def short_sources(budgeted: DataFrame, source: str) -> DataFrame:
+    """The sources whose budgets stay below their targets: ``source``. A node gets at least its part by weight, and
+    what siblings lack on top, so only a leaf that is full can stay below; its source's other leaves are as full."""
+    sums = budgeted.groupBy(ident(source).alias("source")).agg(F.sum("budget").alias("budget"), F.sum("target").alias("target"))
+    return sums.where(F.col("budget") < F.col("target") * F.lit(1 - 1e-9)).select("source")  # sums of doubles
 
 
 def select_prefix(texts: DataFrame, budgeted: DataFrame, levels: Sequence[str], seed: int = 17) -> DataFrame:
     """The chosen texts, one row per use: ``levels, rep, epoch, tokens``.
 
     An epoch orders a leaf's texts by a hash of seed, epoch and document id; a leaf gives whole texts from the front
-    of its epochs as long as they fit its budget. Sums per slot of the order find the slot in which the budget ends,
-    and only that slot is put in exact order, so a leaf with most of the texts isn't sorted in one task.
+    of its epochs as long as they fit its budget, and the next one with the chance that the rest of the budget is of
+    it. Sums per slot of the order find the slot in which the budget ends, and only that slot is put in exact order,
+    so a leaf with most of the texts isn't sorted in one task. No epochs are made that the budget can't reach.
     """
     names = [f"{PRIVATE}{i}" for i in range(len(levels))]
-    plan = budgeted.select(*[ident(x).alias(n) for x, n in zip(levels, names)], "budget", F.col("max_repeats").alias("reps"))
+    plan = budgeted.where("budget > 0 and tokens > 0").select(*[ident(x).alias(n) for x, n in zip(levels, names)], "budget", F.least(F.col("max_repeats"), F.ceil(F.col("budget") / F.col("tokens"))).cast("int").alias("reps"))
     on = functools.reduce(Column.__and__, [ident(x).eqNullSafe(F.col(n)) for x, n in zip(levels, names)])
     if rows_at_most(plan, 100_000):
         plan = F.broadcast(plan)  # one row per leaf, counted
-    uses = texts.join(plan, on).where("budget > 0 and reps > 0 and tokens > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)))
+    uses = texts.join(plan, on).where("reps > 0 and tokens > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("reps") - 1)))
     order = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("rep"))
     uses = uses.withColumn("order", order).withColumn("slot", F.shiftrightunsigned("order", 52).cast("int"))
     uses = uses.withColumn("slot", F.col("epoch") * SLOTS + F.col("slot"))
@@ -142,7 +153,9 @@ def select_prefix(texts: DataFrame, budgeted: DataFrame, levels: Sequence[str],
     cols = [*[ident(x) for x in levels], F.col("rep"), F.col("epoch"), F.col("tokens")]
     whole = marked.where("last_slot is null or slot < last_slot").select(*cols)
     w = Window.partitionBy(*names).orderBy("order", "rep")  # one slot of a leaf
-    part = marked.where("slot = last_slot").withColumn("upto", F.sum("tokens").over(w)).where("upto <= left").select(*cols)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("edge"), F.col("epoch"), F.col("rep")), F.lit(2**30)) / F.lit(float(2**30))
+    fits = (F.col("upto") <= F.col("left")) | (draw < (F.col("left") - F.col("upto") + F.col("tokens")) / F.col("tokens"))  # below 0 behind the crossing text
+    part = marked.where("slot = last_slot").withColumn("upto", F.sum("tokens").over(w)).where(fits).select(*cols)
     return whole.unionAll(part)
 
 
@@ -151,9 +164,9 @@ def shares(budgeted: DataFrame, chosen: DataFrame, source: str) -> DataFrame:
     chosen_tokens, chosen_texts, most_uses, share``."""
     want = budgeted.groupBy(ident(source).alias("source")).agg(F.sum("target").alias("target"), F.max("goal").alias("goal"), F.sum("all_tokens").alias("tokens"), F.max("max_repeats").alias("max_repeats"))
     got = chosen.groupBy(ident(source).alias("source")).agg(F.sum("tokens").alias("chosen_tokens"), F.count(F.lit(1)).alias("chosen_texts"), (F.max("epoch") + 1).alias("most_uses"))
-    every = Window.partitionBy(F.lit(0))  # one row per source
-    rows = want.join(got, "source", "left").fillna(0, ["chosen_tokens", "chosen_texts", "most_uses"])
+    whole = chosen.agg(F.sum("tokens").alias("chosen"))
+    rows = want.join(got, "source", "left").fillna(0, ["chosen_tokens", "chosen_texts", "most_uses"]).crossJoin(F.broadcast(whole))  # one row
     return rows.select(
         "source", (F.col("target") / F.col("goal")).alias("target_share"), "tokens", "max_repeats", (F.col("tokens") * F.col("max_repeats") < F.col("target")).alias("is_short"),
-        "chosen_tokens", "chosen_texts", "most_uses", (F.col("chosen_tokens") / F.sum("chosen_tokens").over(every)).alias("share"),
+        "chosen_tokens", "chosen_texts", "most_uses", F.when(F.col("chosen") > 0, F.col("chosen_tokens") / F.col("chosen")).alias("share"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import cut, table
+from tidelog.common import cut, rows_at_most, table
 from tidelog.llm import distinct, leakage, lookalike, mixture, quantiles
 
 _IDS = ("host", "source", "event_id")
@@ -71,27 +71,31 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d)
 
 
-#: The top of the tree for the sources at hand: what kind of text they hold.
-_DOMAINS = {"talk": ("support_thread", "chat_export", "incident_review"), "manual": ("runbook", "field_manual", "config_guide", "query_cookbook"), "note": ("release_note", "glossary", "digest", "code_comment")}
 _LEVELS = ("domain", "lang", "source")
 
 
-def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    domain = F.lit("other")
-    for name, sources in _DOMAINS.items():
-        domain = F.when(F.col("source").isin(*sources), F.lit(name)).otherwise(domain)
-    docs = table(spark, d, "documents").select("doc_id", "source", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), domain.alias("domain"), F.unhex(F.md5("text")).alias("text_key"), "text")
-    texts, leaves = mixture.leaf_stats(mixture.count_tokens(docs.where("source is not null"), "text"), table(spark, d, "mix_targets"), doc_id="doc_id", tokens="n_tokens", text_key="text_key", levels=_LEVELS, source="source")
+def _leaves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The tree of the documents at hand: the field of work of a document's service (the first part of its name), its
+    language and its source. A document without a service belongs to the field "none", one without language to "und"."""
+    targets = table(spark, d, "mix_targets")
+    names = targets.select("source").distinct()
+    docs = table(spark, d, "documents").join(F.broadcast(names) if rows_at_most(names, 100_000) else names, "source", "left_semi")
+    domain = F.coalesce(F.split("service", "-")[0], F.lit("none"))
+    docs = docs.select("doc_id", "source", F.coalesce(F.lower("lang"), F.lit("und")).alias("lang"), domain.alias("domain"), F.unhex(F.md5("text")).alias("text_key"), "text")
+    counted = cut(mixture.count_tokens(docs, "text"))  # tokens are counted once, then used by every step
+    texts, leaves = mixture.leaf_stats(counted, targets, doc_id="doc_id", tokens="n_tokens", text_key="text_key", levels=_LEVELS, source="source")
     # a source without documents still has its place in the tree
-    leaves = leaves.withColumn("domain", F.coalesce("domain", domain)).withColumn("lang", F.coalesce("lang", F.lit("und")))
-    texts = cut(texts)  # counted once, then used by every step
-    return texts, cut(mixture.budgets(cut(leaves), _LEVELS))
+    return texts, cut(leaves.fillna({"domain": "none", "lang": "und"}))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    _, plan = _tree(spark, d)
-    sums = plan.groupBy("source").agg(F.sum(F.col("all_tokens") * F.col("max_repeats")).alias("most"), F.sum("target").alias("target"))
-    return sums.where("most < target").select("source")
+    _, leaves = _leaves(spark, d)
+    return mixture.short_sources(mixture.budgets(leaves, _LEVELS, "all_tokens"), "source")
+
+
+def _tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    texts, leaves = _leaves(spark, d)
+    return texts, cut(mixture.budgets(leaves, _LEVELS))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
