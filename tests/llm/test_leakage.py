@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidelog.llm import leakage
@@ -90,3 +91,31 @@ def test_very_long_text(spark):
     text = "x y z " * 300_000 + item + " q" * 100_000
     got = find_leaks(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, item)], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["exact_words"]) for r in got] == [(1, 2, 20)]
+
+
+@pytest.mark.parametrize("length", [12, 13, 16, 24])
+def test_recall_with_one_replaced_word(spark, length):
+    """Every passage of at least 12 words is found with any one inner word replaced: recall 1 at these lengths."""
+    r = random.Random(length)
+    items, docs = [r.choices(VOCABULARY, k=40) for _ in range(12)], []
+    for j, item in enumerate(items):
+        for place in range(1, length - 1):
+            part = item[7 : 7 + length]
+            part[place] = "other"
+            docs.append((len(docs), j, " ".join(r.choices(VOCABULARY, k=20) + part + r.choices(VOCABULARY, k=20))))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id long, n int, text string"), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]) for x in got if x["similar_words"] >= length}
+    assert all((d, j) in found for d, j, _ in docs)
+
+
+def test_filter_grows_with_the_items_up_to_a_bound():
+    assert leakage.filter_bits(0) == 24 and leakage.filter_bits(3_000_000) == 26 and leakage.filter_bits(10**9) == 28
+
+
+def test_words_beyond_a_chunk(corpus, monkeypatch):
+    monkeypatch.setattr(leakage, "CHUNK_WORDS", 300)
+    rows = [{"id": i, "text": t} for i, t in enumerate(corpus[0]) if t]
+    parts = list(leakage._chunks(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(parts) > 5 and [i for p in parts for i in p[0]] == [x["id"] for x in rows]
+    assert np.array_equal(np.concatenate([p[1] for p in parts]), np.concatenate([leakage.word_hashes(x["text"]) for x in rows]))
+    assert all(len(p[1]) == p[2][-1] and len(p[0]) == len(p[2]) - 1 for p in parts)
