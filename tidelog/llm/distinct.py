@@ -7,12 +7,14 @@ stand for. The estimate is the maximum of the likelihood of all register states;
 0.76 / sqrt(m) (1.2 percent at p = 12), against 1.04 / sqrt(m) for registers without indicator bits, which
 would need 6 bits each for that: some 28 percent less space for equal error.
 
-A sketch is a set of rows ``(group, reg, state)``: merging is a group-by on (group, reg), so that no group, however
-large, is handled in one task.
+While a sketch is made or merged it is a set of rows ``(group, reg, state)``, so that no group, however large, is
+handled in one task. It is kept packed, a row per group and ``BLOCK`` registers with a byte for each: ``block`` and
+``regs``. Blocks without any register seen are left out.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from tidelog.common import PRIVATE, ident
 
 P = 12
+#: Registers of a packed row, and the byte of one that has seen nothing; a state s is the byte s + 1 above that.
+BLOCK, NOTHING = 256, -128
 _MASK = PRIVATE + "mask"
 
 
@@ -52,32 +56,57 @@ def _mask(state: Column) -> Column:
     return F.call_function("shiftright", F.call_function("shiftleft", bits, top), F.lit(2))
 
 
+def _pack(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Rows of registers as blocks of bytes; what lies between two registers seen is filled up."""
+    entry = F.struct(F.col("reg").bitwiseAND(F.lit(BLOCK - 1)).alias("r"), (F.col("state") + F.lit(NOTHING + 1)).cast("tinyint").alias("b"))
+    got = rows.groupBy(*[ident(g) for g in groups], "ident", F.shiftright("reg", BLOCK.bit_length() - 1).alias("block")).agg(F.array_sort(F.collect_list(entry)).alias(_MASK))
+    e, gap = F.col(_MASK), lambda n: F.array_repeat(F.lit(NOTHING).cast("tinyint"), n)
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(e, i - 1)["r"])
+    filled = F.flatten(F.transform(e, lambda x, i: F.concat(gap(x["r"] - before(i) - 1), F.array(x["b"]))))
+    regs = F.concat(filled, gap(F.lit(BLOCK - 1) - F.element_at(e, -1)["r"]))
+    return got.select(*[ident(g) for g in groups], "ident", "block", regs.alias("regs"))
+
+
+def registers(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Packed sketches as rows of the registers that have seen something: ``groups, ident, reg, state``."""
+    at, byte = PRIVATE + "at", PRIVATE + "byte"
+    rows = sketches.select(*[ident(g) for g in groups], "ident", "block", F.posexplode("regs").alias(at, byte)).where(F.col(byte) != NOTHING)
+    return rows.select(*[ident(g) for g in groups], "ident", (F.col("block") * BLOCK + F.col(at)).alias("reg"), (F.col(byte).cast("int") - F.lit(NOTHING + 1)).cast("short").alias("state"))
+
+
 def sketch(df: DataFrame, groups: Sequence[str], identifiers: Sequence[str], p: int = P) -> DataFrame:
-    """The sketches of every identifier column in every group: ``groups, ident, reg, state``.
+    """The sketches of every identifier column in every group: ``groups, ident, block, regs``.
 
     Null identifiers aren't identifiers and don't count; the empty string is one. Null groups are groups of their
     own. Values are compared byte for byte. Repeated rows change nothing; an empty table gives no rows. Each task
-    sends at most one row per group and register, and (group, reg) spreads a hot group over all tasks.
+    sends at most one row per group and register, and (group, reg) spreads a hot group over all tasks; packing then
+    moves one row per register seen, whatever the rows behind it.
     """
+    if not 8 <= p <= 18:
+        raise ValueError("p lies between 8 and 18")
     each = []
     for c in identifiers:
         reg, mask = _register(ident(c).cast("string"), p)
         each.append(F.when(ident(c).isNotNull(), F.struct(F.lit(c).alias("ident"), reg.alias("reg"), mask.alias(_MASK))))
     rows = df.select(*[ident(g) for g in groups], F.explode(F.array(*each)).alias(PRIVATE + "e")).where(F.col(PRIVATE + "e").isNotNull())
     rows = rows.select(*[ident(g) for g in groups], F.col(PRIVATE + "e.ident").alias("ident"), F.col(PRIVATE + "e.reg").alias("reg"), F.col(f"{PRIVATE}e.{_MASK}").alias(_MASK))
-    return rows.groupBy(*[ident(g) for g in groups], "ident", "reg").agg(_state(F.bit_or(_MASK)).alias("state"))
+    return _pack(rows.groupBy(*[ident(g) for g in groups], "ident", "reg").agg(_state(F.bit_or(_MASK)).alias("state")), groups)
 
 
 def merge(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Sketches merged to coarser groups (or sketches of several days put together): the same as if the rows
     behind them had been sketched in one."""
-    return sketches.groupBy(*[ident(g) for g in groups], "ident", "reg").agg(_state(F.bit_or(_mask(F.col("state")))).alias("state"))
+    rows = registers(sketches, groups)
+    return _pack(rows.groupBy(*[ident(g) for g in groups], "ident", "reg").agg(_state(F.bit_or(_mask(F.col("state")))).alias("state")), groups)
 
 
 def merge_all_unions(sketches: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Sketches of every combination of groups and of their unions (a cube); null in a group column stands for all of
     its values. Group columns must not be null themselves."""
-    return sketches.cube(*[ident(g) for g in groups], "ident", "reg").agg(_state(F.bit_or(_mask(F.col("state")))).alias("state"), F.grouping("ident").alias(PRIVATE + "gi"), F.grouping("reg").alias(PRIVATE + "gr")).where(f"{PRIVATE}gi = 0 and {PRIVATE}gr = 0").drop(PRIVATE + "gi", PRIVATE + "gr")
+    rows, keys = registers(sketches, groups), [ident(g) for g in groups]
+    fixed = [F.col("ident"), F.col("reg")]
+    sets = [[*s, *fixed] for n in range(len(keys) + 1) for s in itertools.combinations(keys, n)]
+    return _pack(rows.groupingSets(sets, *keys, *fixed).agg(_state(F.bit_or(_mask(F.col("state")))).alias("state")), groups)
 
 
 def estimate(sketches: DataFrame, groups: Sequence[str], p: int = P) -> DataFrame:
@@ -87,7 +116,7 @@ def estimate(sketches: DataFrame, groups: Sequence[str], p: int = P) -> DataFram
     group); the maximum is then found by bisection of its derivative on a logarithmic scale.
     """
     top = 64 - p
-    counts = sketches.groupBy(*[ident(g) for g in groups], "ident", "state").agg(F.count(F.lit(1)).alias("c"))
+    counts = registers(sketches, groups).groupBy(*[ident(g) for g in groups], "ident", "state").agg(F.count(F.lit(1)).alias("c"))
     # of a register with highest rank u: ranks above u and unset bits below it weren't seen (their chances add up in a),
     # u and set bits were (each adds a term to the list b)
     s = F.col("state").cast("int")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import cut, rows_at_most, table
+from tidelog.common import cut, ident, rows_at_most, table
 from tidelog.llm import distinct, leakage, lookalike, mixture, quantiles
 
 _IDS = ("host", "source", "event_id")
@@ -34,14 +36,48 @@ def p2_unions(spark: SparkSession, d: str) -> DataFrame:
     return distinct.estimate(distinct.merge_all_unions(_sketches(spark, d), ["index_name", "event_day"]), ["index_name", "event_day"])
 
 
+def _held_against(counts: DataFrame, exact: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates beside exact counts: whether each lies within five standard errors, or three of
+    small sets, in which values that share a register weigh more than the standard error says."""
+    on = functools.reduce(Column.__and__, [ident(k).eqNullSafe(ident("x_" + k)) for k in [*keys, "ident"]])
+    rows = exact.withColumnsRenamed({k: "x_" + k for k in [*keys, "ident"]}).join(counts, on, "left")
+    near = F.abs(F.col("estimate") - F.col("n_exact")) <= F.greatest(F.lit(3.0), 5 * distinct.standard_error() * F.col("n_exact"))
+    return rows.select(*[F.col("x_" + k).alias(k) for k in [*keys, "ident"]], "n_exact", F.coalesce(near, F.lit(False)).alias("within"))
+
+
+def _each_ident(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("ident"), F.col(c).alias("n_exact")) for c in _IDS])).alias("x")).select(*keys, "x.*")
+
+
+def p2_unions_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every index and day, every index, every day and all together: the estimates against exact counts."""
+    keys = ["index_name", "event_day"]
+    exact = table(spark, d, "log_events").withColumn("event_day", _day("event_time")).cube(*keys).agg(*[F.countDistinct(c).alias(c) for c in _IDS])
+    return _held_against(p2_unions(spark, d), _each_ident(exact, keys), keys)
+
+
+def p2_chosen_checked(spark: SparkSession, d: str) -> DataFrame:
+    """A union of some indexes and all days but one, from the same partial results, against exact counts."""
+    chosen = "index_name > 'm' and event_day <> '2023-01-03'"
+    rows = table(spark, d, "log_events").withColumn("event_day", _day("event_time")).where(chosen)
+    counts = distinct.estimate(distinct.merge(_sketches(spark, d).where(chosen), []), [])
+    return _held_against(counts, _each_ident(rows.agg(*[F.countDistinct(c).alias(c) for c in _IDS]), []), [])
+
+
 _METRICS = ("duration", "scanned_bytes", "scanned_rows")
 
 
-def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
+_QS = [0.5, 0.9, 0.95, 0.99]
+
+
+def _once(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "search_history").where("final_state = 6")
-    once = quantiles.once_each(rows, "search_job_id", ["created_at", "app_id", *_METRICS]).withColumn("created_day", _day("created_at"))
+    return quantiles.once_each(rows, "search_job_id", ["created_at", "app_id", *_METRICS]).withColumn("created_day", _day("created_at")).where("app_id is not null")
+
+
+def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
     keys = ["app_id", "created_day"]
-    return quantiles.merge(quantiles.sketch(once.where("app_id is not null"), keys, _METRICS), keys)
+    return quantiles.merge(quantiles.sketch(_once(spark, d), keys, _METRICS), keys)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,11 +88,36 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_daily(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(_day_sketches(spark, d), ["app_id", "created_day"], [0.5, 0.9, 0.95, 0.99])
+    return quantiles.percentiles(_day_sketches(spark, d), ["app_id", "created_day"], _QS)
 
 
 def p3_all_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(quantiles.merge(_day_sketches(spark, d), ["app_id"]), ["app_id"], [0.5, 0.9, 0.95, 0.99])
+    return quantiles.percentiles(quantiles.merge(_day_sketches(spark, d), ["app_id"]), ["app_id"], _QS)
+
+
+def _ranked_within(rows: DataFrame, found: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
+    """Percentiles beside exact ranks: whether each value's rank lies within the stated error of the percentile's."""
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias("v")) for m in _METRICS])).alias("x")).select(*keys, "x.*").where("v >= 0")
+    at = found.select(*[F.col(k).alias("f_" + k) for k in keys], F.col("metric").alias("f_metric"), F.col("n").alias("f_n"), "values")
+    on = functools.reduce(Column.__and__, [F.col(k).eqNullSafe(F.col("f_" + k)) for k in [*keys, "metric"]])
+    each = [F.count_if(F.col("v") < F.col("values")[i]).alias(f"lo{i}") for i in range(len(qs))] + [F.count_if(F.col("v") <= F.col("values")[i]).alias(f"hi{i}") for i in range(len(qs))]
+    ranks = long.join(at, on, "left").groupBy(*keys, "metric").agg(F.count(F.lit(1)).alias("n"), F.max("f_n").alias("f_n"), *each)
+    within = F.col("n") == F.col("f_n")
+    for i, q in enumerate(qs):  # an equal value may have a whole stretch of ranks
+        slack = F.lit(5 * quantiles.relative_error() * (1 - q)) * F.col("n") + 1
+        within = within & (F.col(f"lo{i}") <= F.lit(q) * F.col("n") + slack) & (F.col(f"hi{i}") >= F.lit(q) * F.col("n") - slack)
+    return ranks.select(*keys, "metric", "n", F.coalesce(within, F.lit(False)).alias("within"))
+
+
+def p3_daily_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Every application's and day's percentiles against the exact ranks of their values."""
+    keys = ["app_id", "created_day"]
+    return _ranked_within(_once(spark, d), p3_daily(spark, d), keys, _QS)
+
+
+def p3_all_days_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The same for all days of an application, merged from the sketches of the days."""
+    return _ranked_within(_once(spark, d), p3_all_days(spark, d), ["app_id"], _QS)
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -120,15 +181,25 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_form(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_daily, p2_unions, p3_found, p3_daily, p3_all_days, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_daily, p2_unions, p2_unions_checked, p2_chosen_checked, p3_found, p3_daily, p3_all_days, p3_daily_checked, p3_all_days_checked, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_classes, p9_forms)}
 
+_P2_DAYS = "WITH e AS (SELECT index_name, strftime(event_time, '%Y-%m-%d') AS event_day, host, source, event_id FROM log_events) "
 _P3_ONCE = "WITH once AS (SELECT DISTINCT search_job_id, app_id, strftime(created_at, '%Y-%m-%d') AS created_day, duration, scanned_bytes, scanned_rows FROM search_history WHERE final_state = 6 AND app_id IS NOT NULL) "
+_P3_LONG = _P3_ONCE + ", v AS (SELECT app_id, created_day, 'duration' AS metric, duration AS v FROM once WHERE duration >= 0 UNION ALL SELECT app_id, created_day, 'scanned_bytes', scanned_bytes FROM once WHERE scanned_bytes >= 0 UNION ALL SELECT app_id, created_day, 'scanned_rows', scanned_rows FROM once WHERE scanned_rows >= 0) "
 
 SQL = {
     # estimates, held against exact counts and ranks: the cases lie further from the limits than the stated errors
     "p2_found": """
 WITH n AS (SELECT index_name, strftime(event_time, '%Y-%m-%d') AS event_day, count(DISTINCT event_id) AS e, count(DISTINCT host) AS h, count(DISTINCT source) AS s FROM log_events GROUP BY 1, 2)
 SELECT index_name, event_day, 'host' AS ident FROM n WHERE e >= 10 AND h > 0.6 * e UNION ALL SELECT index_name, event_day, 'source' FROM n WHERE e >= 10 AND s > 0.6 * e""",
+    "p2_unions_checked": _P2_DAYS + """
+, n AS (SELECT index_name, event_day, count(DISTINCT host) AS host, count(DISTINCT source) AS source, count(DISTINCT event_id) AS event_id FROM e GROUP BY CUBE (index_name, event_day))
+SELECT index_name, event_day, ident, n_exact, true AS within FROM (UNPIVOT n ON host, source, event_id INTO NAME ident VALUE n_exact)""",
+    "p2_chosen_checked": _P2_DAYS + """
+, n AS (SELECT count(DISTINCT host) AS host, count(DISTINCT source) AS source, count(DISTINCT event_id) AS event_id FROM e WHERE index_name > 'm' AND event_day <> '2023-01-03')
+SELECT ident, n_exact, true AS within FROM (UNPIVOT n ON host, source, event_id INTO NAME ident VALUE n_exact)""",
+    "p3_daily_checked": _P3_LONG + "SELECT app_id, created_day, metric, count(*) AS n, true AS within FROM v GROUP BY 1, 2, 3",
+    "p3_all_days_checked": _P3_LONG + "SELECT app_id, metric, count(*) AS n, true AS within FROM v GROUP BY 1, 2",
     "p3_found": _P3_ONCE + """
 SELECT app_id, created_day, 'duration' AS metric FROM once WHERE duration >= 0 GROUP BY 1, 2 HAVING quantile_disc(duration, 0.95) > 30000000
 UNION ALL SELECT app_id, created_day, 'scanned_bytes' FROM once WHERE scanned_bytes >= 0 GROUP BY 1, 2 HAVING quantile_disc(scanned_bytes, 0.5) > 1073741824
