@@ -71,6 +71,15 @@ def test_many_open_groups_are_sent_on(spark, monkeypatch):
     assert len(got) == 100 and all(r["n"] == 3 and r["values"] == [100 + int(r["g"])] for r in got)
 
 
+@pytest.mark.parametrize("fan_in", [2, 5, 32])
+def test_merging_as_a_tree(spark, fan_in):
+    df = spark.range(40_000).selectExpr("cast(id % 2 as string) g", "id v").repartition(23)
+    got = quantiles.percentiles(quantiles.merge(quantiles.sketch(df, ["g"], ["v"]), ["g"], fan_in), ["g"], QS).collect()
+    assert sorted((r["g"], r["n"]) for r in got) == [("0", 20_000), ("1", 20_000)]
+    for r in got:
+        assert all(abs(v / 40_000 - q) <= 4 * quantiles.relative_error() * (1 - q) + 1e-4 for q, v in zip(QS, r["values"]))
+
+
 def test_once_each(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 1, 5), ("b", 2, 2), (None, 3, 3), (None, 3, 3)], "id string, x int, y int")
     assert sorted(map(tuple, quantiles.once_each(df, "id", ["x", "y"]).collect())) == [(1, 5), (2, 2), (3, 3), (3, 3)]

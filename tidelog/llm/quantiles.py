@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.common import PRIVATE, ident
+from tidelog.common import PRIVATE, cut, ident
 
 K = 64
 _SECTIONS = 3
@@ -134,7 +134,8 @@ class RankSketch:
         return self
 
 
-#: Sketches that a task holds at once; beyond it they are sent on and begun anew, which merging makes up for.
+#: Sketches that a task holds at once; beyond it they are sent on and begun anew. Merging puts them together again, within
+#: the same error; at sizes below it a partition's sketch of a group is one.
 OPEN_SKETCHES = 20_000
 
 
@@ -160,14 +161,20 @@ def sketch(df: DataFrame, groups: Sequence[str], metrics: Sequence[str], k: int
             return out
 
         for batch in batches:
-            frame = batch.to_pandas(integer_object_nulls=True) if batch.num_rows else pd.DataFrame()
-            if not len(frame):
+            if not batch.num_rows:
                 continue
-            for key, part in frame.groupby(fields, dropna=False, sort=False) if fields else [((), frame)]:
-                key = tuple(None if x is None or x != x else x for x in (key if isinstance(key, tuple) else (key,)))
-                for i, metric in enumerate(metrics):
-                    got = part[f"m{i}"]
-                    values = got[got.notna()].to_numpy(dtype=np.int64)
+            code, parts = np.zeros(batch.num_rows, np.int64), []
+            for i in range(len(names)):
+                coded = batch.column(i).dictionary_encode(null_encoding="encode")
+                parts.append((coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)))
+                code = code * len(parts[-1][0]) + parts[-1][1]
+            order = np.argsort(code, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(code[order])) + 1).tolist(), batch.num_rows]
+            columns = [batch.column(len(names) + i).fill_null(-1).to_numpy(zero_copy_only=False)[order] for i in range(len(metrics))]
+            for start, end in zip(edges, edges[1:]):
+                key = tuple(words[at[order[start]]] for words, at in parts)
+                for metric, column in zip(metrics, columns):
+                    values = column[start:end]
                     values = values[values >= 0]
                     if len(values):
                         held.setdefault((*key, metric), RankSketch(k)).update(values)
@@ -180,28 +187,32 @@ def sketch(df: DataFrame, groups: Sequence[str], metrics: Sequence[str], k: int
 
 
 def merge(sketches: DataFrame, groups: Sequence[str], fan_in: int = 32) -> DataFrame:
-    """One sketch per group and metric, of coarser groups too. Merging goes in two rounds, the first over ``fan_in``
-    parts of each group, so that no task merges all partials of a group."""
+    """One sketch per group and metric, of coarser groups too.
+
+    The partials, small beside the data, are written once and the largest group's are counted. They merge as a tree:
+    every round puts together about ``fan_in`` sketches of a group, in as many rounds as that takes, so no task merges
+    more of them however many partitions made them.
+    """
     keys = [*groups, "metric"]
-    schema = T.StructType([*[T.StructField(g, T.StringType()) for g in groups], T.StructField("metric", T.StringType()), T.StructField("sketch", T.BinaryType())])
     names = [f"g{i}" for i in range(len(keys))]
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("salt", T.LongType()), T.StructField("sketch", T.BinaryType())])
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         parts = iter(sorted(frame["sketch"]))  # in an order of their own, not that of arrival
         total = RankSketch.from_bytes(next(parts))
         for x in parts:
             total.merge(RankSketch.from_bytes(x))
-        row = {key: [frame[n].iloc[0]] for key, n in zip(keys, names)}
-        return pd.DataFrame(row | {"sketch": [total.to_bytes()]})
-
-    for salted in (True, False):
-        rows = sketches.select(*[ident(c).cast("string").alias(n) for c, n in zip(keys, names)], "sketch")
-        by = [*names]
-        if salted:
-            rows = rows.withColumn("salt", F.pmod(F.hash("sketch"), F.lit(fan_in)))
-            by.append("salt")
-        sketches = rows.groupBy(*by).applyInPandas(one, schema)
-    return sketches
+        return pd.DataFrame({n: [frame[n].iloc[0]] for n in [*names, "salt"]} | {"sketch": [total.to_bytes()]})
+
+    rows = cut(sketches.select(*[ident(c).cast("string").alias(n) for c, n in zip(keys, names)], "sketch"))
+    parts = rows.groupBy(*names).count().agg(F.max("count")).first()[0] or 1
+    salt = F.xxhash64(F.monotonically_increasing_id())
+    while True:
+        parts = -(-parts // fan_in)
+        rows = rows.withColumn("salt", F.pmod(salt, F.lit(parts))).groupBy(*names, "salt").applyInPandas(one, schema)
+        if parts == 1:
+            return rows.select(*[F.col(n).alias(c) for c, n in zip(keys, names)], "sketch")
+        salt = F.col("salt")  # numbers below the last round's parts
 
 
 def percentiles(sketches: DataFrame, groups: Sequence[str], qs: Sequence[float]) -> DataFrame:
