@@ -32,18 +32,31 @@ def test_envelopes(spark):
     assert {r["id"] for r in got if r["problem"]} == {1, 2, 3}
 
 
-def test_envelopes_as_deep_as_allowed(spark):
+def test_envelopes_of_any_depth(spark):
     nest = lambda n, start, end: '{"event":' + start * n + '"}]"' + end * n + "}"
     kinds = {"objects": ('{"a":', "}"), "arrays": ("[", "]"), "both": ('{"a":[', "]}")}
-    bodies = [(f"{k}-{n}", '{"event":"before"}' + nest(n // (1 + (k == "both")), *kinds[k]) + '\n{"event":"after"}') for k in kinds for n in (4, 6, 8, 14, 16, 17, 18, 40) if k != "both" or n % 2 == 0]
+    bodies = [(f"{k}-{n}", '{"event":"before"}' + nest(n, *kinds[k]) + '\n{"event":"after"}') for k in kinds for n in (4, 8, 40, 200)]
     long = '{"event":"' + "{x" * 100_000 + '"}' + '{"event":{"l":[' + ",".join(['{"k":[1]}'] * 20_000) + "]}}"
-    got = readers.split_envelopes(spark.createDataFrame([*bodies, ("long", long)], "id string, body string"), "body", received=when()).collect()
-    events = {k: [r["_raw"] for r in sorted(got, key=lambda r: r["event_no"]) if r["id"] == k and r["problem"] is None] for k, _ in bodies}
+    got = readers.split_envelopes(spark.createDataFrame([*bodies, ("long", long)], "id string, body string"), "body", received=when(), defaults={"index": "i"}).collect()
     for k, body in bodies:
         kind, n = k.split("-")
-        inner = nest(int(n) // (1 + (kind == "both")), *kinds[kind])[len('{"event":') : -1]
-        assert events[k] == (["before", inner, "after"] if int(n) <= 16 else []), k
-    assert {r["problem"] for r in got if r["id"].endswith(("-17", "-18", "-40"))} == {"invalid body"} and [r["problem"] for r in got if r["id"] == "long"] == [None, None]
+        inner = nest(int(n), *kinds[kind])[len('{"event":') : -1]
+        assert [r["_raw"] for r in sorted(got, key=lambda r: r["event_no"]) if r["id"] == k and r["problem"] is None] == ["before", inner, "after"], k
+    assert [r["problem"] for r in got if r["id"] == "long"] == [None, None]
+
+
+def test_envelope_errors_refuse_the_request(spark):
+    good = '{"event":"g"}'
+    bodies = {
+        good + '{"event":"x","host":null}': "invalid host", good + '{"event":"x","source":""}': "invalid source", good + '{"event":"x","sourcetype":5}': "invalid sourcetype", good + '{"event":"x","x":1}': "unknown member",
+        good + '{"event":null}': "blank event", good + '{"host":"h"}': "blank event", good + '{"event":"x"} 7': "invalid body", good + '{"event":"x"': "invalid body", good + '{"event":"x","event":"y"}': "invalid body", good + "]" + good: "invalid body",
+    }
+    for index, more in (({"index": "i"}, {}), ({}, {good + '{"event":"x","index":"i"}': "no index"})):
+        texts = list(bodies | more)
+        got = readers.split_envelopes(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "body", received=when(), defaults=index).collect()
+        for i, text in enumerate(texts):
+            problems = [r["problem"] for r in got if r["id"] == i]
+            assert None not in problems and (bodies | more)[text] in problems, text
 
 
 def test_raw_bodies_and_redaction(spark):

@@ -317,15 +317,28 @@ def source_raw_body(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).cast("bigint").alias("n"), F.col("_raw").alias("line"))
 
 
-@register("SELECT event_id, unnest([0::BIGINT, 1]) AS event_no, unnest([event_type, '{\"v\":' || user_id || '}']) AS raw, unnest(['hec', 'h' || user_id]) AS host, unnest([event_type, NULL]) AS message FROM events")
+_DEEP = '{"a":' * 30 + "[{" + '"b":1}]' + "}" * 30
+
+
+@register(f"""SELECT event_id, unnest([0::BIGINT, 1, 2]) AS event_no, unnest([event_type, '{{"v":' || user_id || '}}', '{_DEEP}']) AS raw, unnest(['hec', 'h' || user_id, 'hec']) AS host, unnest([event_type, NULL, NULL]) AS message FROM events""")
 def source_envelopes(spark: SparkSession, d: str) -> DataFrame:
-    """Bodies of JSON envelopes one after another."""
+    """Bodies of JSON envelopes one after another, one of them thirty levels deep."""
     u = F.col("user_id").cast("string")
-    body = F.concat(F.lit('{"event":"'), F.col("event_type"), F.lit('"} {"time":1700000000,"host":"h'), u, F.lit('","event":{"v":'), u, F.lit("}}"))
-    got = readers.split_envelopes(table(spark, d, "events").select("event_id", body.alias("body")), "body")
+    body = F.concat(F.lit('{"event":"'), F.col("event_type"), F.lit('"} {"time":1700000000,"host":"h'), u, F.lit('","event":{"v":'), u, F.lit('}}\n{"event":' + _DEEP + "}"))
+    got = readers.split_envelopes(table(spark, d, "events").select("event_id", body.alias("body")), "body", defaults={"index": "main"})
     return got.where("problem is null").select("event_id", F.col("event_no").cast("bigint").alias("event_no"), F.col("_raw").alias("raw"), "host", "message")
 
 
+@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'invalid host' WHEN 1 THEN 'invalid body' WHEN 2 THEN 'unknown member' END AS problem FROM events WHERE event_id % 4 < 3
+UNION ALL SELECT event_id, 'refused request' FROM events WHERE event_id % 4 IN (0, 2) UNION ALL SELECT event_id, unnest(['none', 'none']) FROM events WHERE event_id % 4 = 3""")
+def source_envelope_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies with a null host, text between envelopes or an unknown member: each is refused as a whole."""
+    n = F.col("event_id") % 4
+    end = F.when(n == 0, '{"host":null,"event":"x"}').when(n == 1, '; {"event":"x"}').when(n == 2, '{"event":"x","extra":1}').otherwise('{"event":"x"}')
+    got = readers.split_envelopes(table(spark, d, "events").select("event_id", F.concat(F.lit('{"event":"first"}'), end).alias("body")), "body", defaults={"index": "main"})
+    return got.select("event_id", F.coalesce("problem", F.lit("none")).alias("problem"))
+
+
 @register("SELECT event_id, '{\"user\":' || user_id || ',\"password\":\"[REDACTED]\"}' AS a, 'x=1 api_key=[REDACTED] y=' || event_type AS b FROM events")
 def source_redaction(spark: SparkSession, d: str) -> DataFrame:
     """Sensitive values replaced before storing."""
@@ -334,10 +347,12 @@ def source_redaction(spark: SparkSession, d: str) -> DataFrame:
     return readers.redact(rows, ["a", "b"])
 
 
-@register("SELECT level, count(*) AS n FROM (SELECT CASE WHEN i % 29 = 0 THEN 'ERROR' WHEN i % 11 = 0 THEN 'WARN' WHEN i % 5 = 0 THEN 'DEBUG' ELSE 'INFO' END AS level FROM range(20000) t(i)) GROUP BY 1")
+@register("""
+WITH x AS (SELECT i, (i * 7921 + 104729 + 1299709) % 1000003 AS x FROM range((SELECT count(*) FROM events)) t(i)), d AS (SELECT (x * x + i) % 1000003 % 100 AS luck FROM x)
+SELECT CASE WHEN luck < 3 THEN 'TRACE' WHEN luck < 20 THEN 'DEBUG' WHEN luck < 82 THEN 'INFO' WHEN luck < 93 THEN 'WARN' WHEN luck < 99 THEN 'ERROR' ELSE 'FATAL' END AS level, count(*) AS n FROM d GROUP BY 1""")
 def source_generator(spark: SparkSession, d: str) -> DataFrame:
-    """Generated events by level."""
-    return readers.generate_events(spark, 20_000, shape="nested").groupBy(F.get_json_object("_raw", "$.severity_text").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    """As many generated events as there are events, by level."""
+    return readers.generate_events(spark, table(spark, d, "events").count(), shape="nested").groupBy(F.get_json_object("_raw", "$.outcome.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("SELECT CAST(visibility_seq AS VARCHAR) AS visibility_seq, coalesce(CASE WHEN regexp_matches(raw, '^[=+@\t\r\n''-]') THEN '''' || raw ELSE raw END, '') AS raw, coalesce(service, '') AS service FROM log_events")

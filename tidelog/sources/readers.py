@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, ident
+from tidelog.common import PRIVATE, div, ident
 from tidelog.functions.values import NUMBER
 from tidelog.operators.log_lines import LEVELS
 from tidelog.plans.errors import DataError
@@ -32,6 +32,9 @@ REDACTED = "[REDACTED]"
 ENVELOPE_DEFAULTS = {"host": "hec", "source": "http:hec", "sourcetype": "httpevent"}
 
 
+_END = PRIVATE + "end"
+
+
 def event_time(text: Column) -> Column:
     """A time written as RFC 3339, or as epoch seconds, milli-, micro- or nanoseconds by size; null if it is neither."""
     n = F.when(text.rlike(NUMBER), text.try_cast("decimal(30,9)"))
@@ -41,6 +44,12 @@ def event_time(text: Column) -> Column:
     return F.coalesce(F.when(n.isNotNull(), number), iso)
 
 
+def parsed_whole(text: Column) -> Column:
+    """A JSON text as a variant; null if it is none or has anything behind its value, which the parser by itself lets pass."""
+    both = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(f',"{_END}":1}}')))
+    return F.when(F.variant_get(both, f"$.{_END}", "int") == 1, F.variant_get(both, "$.v", "variant"))
+
+
 def severity_rank(level: Column) -> Column:
     """0 for unknown, 1 trace to 6 fatal."""
     rank = F.lit(0)
@@ -58,7 +67,7 @@ def decode_json_lines(lines: DataFrame, line: str = "value", *, received: Column
     """
     text = ident(line)
     received = F.current_timestamp() if received is None else received
-    ok = F.when(F.startswith(F.ltrim(text), F.lit("{")) & F.try_parse_json(text).isNotNull(), text)
+    ok = F.when(F.startswith(F.ltrim(text), F.lit("{")) & parsed_whole(text).isNotNull(), text)
     get = lambda name: F.coalesce(*[F.get_json_object(ok, f"$['{a}']") for a in ALIASES[name]])
     written = event_time(get("_time"))
     return lines.where(F.trim(text) != "").select(
@@ -87,37 +96,54 @@ def split_raw_body(bodies: DataFrame, body: str) -> DataFrame:
     return lines.where(line != "").select(*[ident(c) for c in kept], "line_no", line.alias("_raw"), line.alias("message"))
 
 
-#: Fixed value: levels of objects and arrays below an envelope; a deeper body is invalid.
-DEPTH = 16
-#: A JSON object with its strings, and the same with arrays counted as levels (which kind closes a level is left to the first).
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
-_OBJECT = rf'\{{(?:[^{{}}"]|{_STRING})*+\}}'
-_LEVELS = rf'[{{\[](?:[^{{}}\[\]"]|{_STRING})*+[}}\]]'
-for _ in range(DEPTH):
-    _OBJECT = rf'\{{(?:[^{{}}"]|{_STRING}|{_OBJECT})*+\}}'
-    _LEVELS = rf'[{{\[](?:[^{{}}\[\]"]|{_STRING}|{_LEVELS})*+[}}\]]'
+#: A JSON value that begins with a brace, up to the brace after which the text ends or another one opens: within a value
+#: an opening brace never follows a closing one without a comma. Whether it is one, the parser decides.
+_CHUNK = rf'\{{(?:[^"}}]++|{_STRING}|\}}(?!\s*(?:\{{|\z)))*+\}}'
+#: The members of an envelope, and those of them that are metadata.
+ENVELOPE_METADATA = ("host", "source", "sourcetype", "index")
+ENVELOPE_MEMBERS = ("time", *ENVELOPE_METADATA, "event", "fields")
 
 
 def split_envelopes(bodies: DataFrame, body: str, *, received: Column | None = None, defaults: dict | None = None) -> DataFrame:
-    """An event per envelope of a body of JSON objects one after another.
+    """An event per envelope of a body of JSON objects one after another, read by the JSON parser at any depth that it takes.
 
-    Metadata come from the envelope, then from ``defaults``, then from fixed values; an envelope without a non-blank
-    event, or a body with anything between its objects or levels deeper than ``DEPTH``, is an error of its row:
-    ``problem`` says which, and the row has no event. Columns of ``bodies`` other than the body are kept.
+    Metadata come from the envelope, then from ``defaults``, then from fixed values; metadata that are given but null,
+    empty or no text are an error, and so are unknown or repeated members, an envelope without a non-blank event, no
+    index from anywhere, and a body with anything but objects. A body is taken whole or not at all: ``problem`` says
+    what is wrong with an envelope, or that the request was refused for another one's sake. Null bodies are invalid.
+    Columns of ``bodies`` other than the body are kept.
     """
     kept = [c for c in bodies.columns if c != body]
     text, given = ident(body), ENVELOPE_DEFAULTS | (defaults or {})
     received = F.current_timestamp() if received is None else received
-    between = F.trim(F.regexp_replace(F.concat(*[F.regexp_replace(text, p, "") for p in (_OBJECT, _LEVELS)]), r"\s+", " "))
-    rows = bodies.select(*[ident(c) for c in kept], between.alias(PRIVATE + "b"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(_OBJECT), F.lit(0))).alias("event_no", PRIVATE + "e"))
+    chunks, between, items = PRIVATE + "c", PRIVATE + "b", PRIVATE + "i"
+    rows = bodies.select(*[ident(c) for c in kept], F.regexp_extract_all(text, F.lit(_CHUNK), F.lit(0)).alias(chunks), (F.trim(F.regexp_replace(F.regexp_replace(text, _CHUNK, ""), r"\s+", "")) != "").alias(between))
+
+    def envelope(e: Column) -> Column:
+        v, names = parsed_whole(e), F.json_object_keys(e)
+        get = lambda name: F.get_json_object(e, f"$.{name}")
+        kind = lambda name: F.schema_of_variant(F.variant_get(v, f"$.{name}", "variant"))
+        has = lambda name: F.array_contains(names, name)
+        problem = F.when(v.isNull(), F.lit("invalid body")).when(F.exists(names, lambda n: ~n.isin(*ENVELOPE_MEMBERS)), F.lit("unknown member"))
+        problem = problem.when(F.coalesce(get("event"), F.lit("")) == "", F.lit("blank event"))
+        for name in ENVELOPE_METADATA:
+            wrong = has(name) & ((F.coalesce(get(name), F.lit("")) == "") | (kind(name) != "STRING"))
+            problem = problem.when(wrong, F.lit(f"invalid {name}"))
+            if name == "index" and not given.get("index"):
+                problem = problem.when(~has(name), F.lit("no index"))
+        return F.struct(
+            problem.alias("problem"), get("time").alias("time"), *[F.coalesce(get(n), F.lit(given.get(n))).alias(n) for n in ENVELOPE_METADATA], get("event").alias("_raw"),
+            F.when(kind("event") == "STRING", get("event")).alias("message"), get("fields").alias("fields"),
+        )
+
+    rows = rows.select(*[ident(c) for c in kept], between, F.transform(chunks, envelope).alias(items))
+    refused = F.coalesce(F.col(between), F.lit(True)) | F.exists(items, lambda x: x["problem"].isNotNull())
+    rows = rows.select(*[ident(c) for c in kept], between, refused.alias(PRIVATE + "r"), F.posexplode_outer(items).alias("event_no", PRIVATE + "e"))
     e = F.col(PRIVATE + "e")
-    get = lambda name: F.get_json_object(e, f"$.{name}")
-    problem = F.when(F.col(PRIVATE + "b") != "", F.lit("invalid body")).when(e.isNull(), F.lit("no event")).when(F.coalesce(get("event"), F.lit("")) == "", F.lit("blank event"))
-    is_text = F.regexp_extract(e, r'"event"\s*:\s*(")', 1) != ""
-    written = event_time(get("time"))
+    problem = F.when(F.coalesce(F.col(between), F.lit(True)), F.lit("invalid body")).when(e.isNull(), F.lit("no event")).otherwise(F.coalesce(e["problem"], F.when(F.col(PRIVATE + "r"), F.lit("refused request"))))
     return rows.select(
-        *[ident(c) for c in kept], "event_no", F.coalesce(written, received).alias("_time"), *[F.coalesce(get(n), F.lit(given.get(n))).alias(n) for n in ("host", "source", "sourcetype")],
-        F.coalesce(get("index"), F.lit(given.get("index"))).alias("index"), get("event").alias("_raw"), F.when(is_text, get("event")).alias("message"), get("fields").alias("fields"), problem.alias("problem"),
+        *[ident(c) for c in kept], "event_no", F.coalesce(event_time(e["time"]), received).alias("_time"), *[e[n].alias(n) for n in (*ENVELOPE_METADATA, "_raw", "message", "fields")], problem.alias("problem"),
     )
 
 
@@ -142,30 +168,43 @@ def redact(df: DataFrame, texts: Sequence[str], *, more: Sequence[str] = ()) ->
     return df.withColumns(out)
 
 
+#: A prime below whose square 64-bit integers don't overflow.
+_PRIME = 1_000_003
+
+
+def _draws(seed: int, most: int, salt: int, ordinal: Column) -> Column:
+    """A number below ``most`` for every ordinal: squares modulo a prime, in plain integer arithmetic."""
+    x = F.pmod(ordinal * F.lit(7919 + 2 * salt) + F.lit(seed * 104_729 + salt * 1299_709), F.lit(_PRIME))
+    return F.pmod(F.pmod(x * x + ordinal, F.lit(_PRIME)), F.lit(most))
+
+
 def generate_events(spark: SparkSession, n: int, *, seed: int = 1, start: str = "2026-01-01T00:00:00Z", interval_us: int = 100_000, cardinality: int = 100_000, shape: str = "flat", partitions: int | None = None) -> DataFrame:
     """Seeded events, the same for the same arguments: ``ordinal, _time, _raw`` and the parts of the raw text.
 
     Shapes: flat (a JSON object), nested (objects within), cardinality (few fields, one with ``cardinality`` values),
-    raw (a line of words). Every value is a hash of seed and ordinal, so any part can be made by itself, anywhere.
+    raw (a line of words). Every value is drawn from seed and ordinal alone, so any part can be made by itself,
+    anywhere. Events come as requests of up to four steps that share a trace; waits are spread over six powers of ten.
     """
     rows = spark.range(0, n, 1, partitions) if partitions else spark.range(n)
-    draw = lambda salt, most: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit(salt)), F.lit(most))
+    at, request = F.col("id"), div(F.col("id"), F.lit(4).cast("long"))
+    draw = lambda salt, most, by=at: _draws(seed, most, salt, by)
     pick = lambda salt, words: F.element_at(F.array(*[F.lit(w) for w in words]), (draw(salt, len(words)) + 1).cast("int"))
-    hexa = lambda salt, digits: F.substring(F.md5(F.concat_ws(":", F.lit(seed), "id", F.lit(salt))), 1, digits)
-    begin = F.unix_micros(F.to_timestamp(F.lit(start)))
-    level = F.when(F.col("id") % 29 == 0, "ERROR").when(F.col("id") % 11 == 0, "WARN").when(F.col("id") % 5 == 0, "DEBUG").otherwise("INFO")
-    status = F.when(level == "ERROR", 500).when(level == "WARN", 429).otherwise(200)
+    luck = draw(1, 100)
+    level = F.when(luck < 3, "TRACE").when(luck < 20, "DEBUG").when(luck < 82, "INFO").when(luck < 93, "WARN").when(luck < 99, "ERROR").otherwise("FATAL")
+    status = F.when(luck < 82, F.element_at(F.array(F.lit(200), F.lit(201), F.lit(204)), (draw(2, 3) + 1).cast("int"))).when(luck < 93, F.lit(404)).otherwise(F.lit(503))
+    wait = F.element_at(F.array(*[F.lit(10**i) for i in range(1, 7)]), (draw(3, 6) + 1).cast("int")) * (draw(4, 9) + 1)
     df = rows.select(
-        F.col("id").alias("ordinal"), F.timestamp_micros(begin + F.col("id") * interval_us).alias("_time"), level.alias("level"), status.alias("status"),
-        pick(1, ["GET", "POST", "PUT"]).alias("method"), F.concat(F.lit("/v1/"), pick(2, ["orders", "carts", "users", "health"])).alias("path"), (draw(3, 500_000) + 100 + F.when(level == "ERROR", 500_000).otherwise(0)).alias("duration_us"),
-        (draw(4, 32_768) + 20).alias("bytes"), F.concat(F.lit("user-"), draw(5, cardinality).cast("string")).alias("user"), hexa(6, 32).alias("trace_id"), hexa(7, 16).alias("span_id"),
+        at.alias("ordinal"), F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit(start))) + at * interval_us).alias("_time"), level.alias("level"), status.alias("status"),
+        pick(5, ["GET", "HEAD", "PUT", "DELETE"]).alias("method"), F.concat_ws("/", F.lit(""), pick(6, ["depot", "berth", "crane", "tide"]), draw(7, 500).cast("string")).alias("path"), wait.alias("wait_us"),
+        ((draw(8, 90) + 1) * (draw(9, 90) + 1)).alias("size"), F.format_string("acct%07d", draw(10, min(cardinality, _PRIME))).alias("account"),
+        F.md5(F.concat_ws("/", F.lit(seed), request)).alias("trace_id"), F.lpad(F.lower(F.hex(at * 4096 + draw(11, 4096))), 16, "0").alias("span_id"),
     )
     stamp = F.date_format("_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")
     raw = {
-        "flat": lambda: F.to_json(F.struct(stamp, "level", "method", "path", "status", "duration_us", "bytes", "user", "trace_id", "span_id")),
-        "nested": lambda: F.to_json(F.struct(stamp, F.col("level").alias("severity_text"), F.struct("method", "path", "status").alias("http"), F.struct("trace_id", "span_id").alias("trace"), F.array("method", "level").alias("tags"))),
-        "cardinality": lambda: F.to_json(F.struct(stamp, "level", "user")),
-        "raw": lambda: F.concat_ws(" ", stamp, "level", "method", "path", F.col("status").cast("string"), F.concat(F.lit("bytes="), "bytes")),
+        "flat": lambda: F.to_json(F.struct(stamp, "level", "method", "path", "status", "wait_us", "size", "account", "trace_id", "span_id")),
+        "nested": lambda: F.to_json(F.struct(stamp, F.struct("level", "status").alias("outcome"), F.struct("method", "path", "size").alias("request"), F.struct("trace_id", "span_id").alias("trace"), F.array("method", "level").alias("labels"))),
+        "cardinality": lambda: F.to_json(F.struct(stamp, "level", "account")),
+        "raw": lambda: F.concat_ws(" ", stamp, "level", "account", "method", "path", F.col("status").cast("string"), F.concat(F.col("wait_us").cast("string"), F.lit("us"))),
     }
     if shape not in raw:
         raise ValueError(f"shape is one of {', '.join(raw)}")
