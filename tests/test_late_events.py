@@ -82,3 +82,17 @@ def test_store_merges_batches_once(spark, tmp_path):
     store.merge(spark.createDataFrame(batches[2], SCHEMA), "002")  # a retry
     accepted = {k: v[:2] for k, v in counts(store.read()).items()}
     assert accepted == {k: v[:2] for k, v in brute(rows).items()}
+
+
+def test_store_counts_redeliveries_of_closed_periods_nowhere(spark, tmp_path):
+    rows = [row(str(i), at=T0 + i % 5 * H, arrived=T0 + dt.timedelta(hours=2 * i), v=i) for i in range(30)]
+    again = [(*r[:4], r[4] + dt.timedelta(hours=70), *r[5:]) for r in rows[::4]]  # past the cut-off of their periods
+    store = late.PeriodStore(spark, str(tmp_path / "s"), ["idx"], event_time="at", arrival="arrived", identity=["tenant", "id"], values=["v"])
+    for i, b in enumerate((rows[:20], rows[20:] + again)):
+        store.merge(spark.createDataFrame(b, SCHEMA), f"{i:03d}")
+    assert counts(store.read()) == brute(rows)
+    whole = late.combine_partials(late.period_partials(spark.createDataFrame(rows, SCHEMA), ["idx"], event_time="at", arrival="arrived", identity=["tenant", "id"], values=["v"]), ["idx"], ["v"])
+    assert sorted(map(tuple, store.read().drop("n_batches").collect())) == sorted(map(tuple, whole.drop("n_batches").collect()))
+    # a batch reads the identities of its own days only
+    seen = spark.read.parquet(str(tmp_path / "s/seen"))
+    assert "day" in seen.columns and seen.where("day = 0").count() == 0

@@ -90,7 +90,7 @@ def test_multivalues(s):
     assert values(s, 'index=e | makemv delim="," tags | mvexpand tags | table id tags', "id", "tags") == [(5, "a"), (5, "b"), (3, "green"), (2, None), (1, "red"), (1, "blue")]
     assert values(s, 'id=1 | makemv delim="," allowempty=true tags | nomv tags', "tags", flat=True) == ["red\n\nblue"]
     assert values(s, "index=e | spath input=j path=a.b output=b | sort id", "b") == ["1", "t", None, None, None]
-    assert values(s, "index=e | spath input=j path=l{}.m output=m | sort id", "m") == [["x", "y"], None, None, None, None]  # null leaves are left out
+    assert values(s, "index=e | spath input=j path=l{}.m output=m | sort id", "m") == [["x", None, "y"], None, None, None, None]
     assert values(s, "index=e | spath input=j path=l{0}.m output=m | sort id", "m")[0] == "x"
 
 
@@ -186,3 +186,68 @@ def test_filters_reach_the_scan(spark, tmp_path):
 def test_atomic_failure(s):
     with pytest.raises(Exception, match="more than 1000 members"):
         s.search('id=1 | eval t=replace("' + "x" * 1001 + '","x","x,") | makemv delim="," t').collect()
+
+
+def test_spath_of_objects_arrays_and_nulls(s):
+    assert values(s, "index=e | spath input=j path=l{1}.m output=host | sort id", "host") == [None, "h1", None, "h2", "h2"]  # an explicit null is a value
+    assert values(s, "index=e | spath input=j path=l{} output=l | where id=4 | table l", "l") == [[]]
+    for path in ("a", "l", "l{0}", "l{}"):
+        with pytest.raises(Exception, match="object or an array"):
+            s.search(f"id=1 | spath input=j path={path} output=x", now=1_704_100_000.0).collect()
+    with pytest.raises(Exception, match="single values"):
+        s.search("id=2 | spath input=j path=l{}.m output=host", now=1_704_100_000.0).collect()
+
+
+def test_makemv_parts_at_spaces_by_default(s):
+    assert values(s, "index=e | makemv raw | sort id | table raw", "raw")[:2] == [["alpha", "Beta"], ["beta-gamma"]]
+
+
+def test_sparkline_takes_the_range_and_fails_beyond_its_points(s):
+    kw = {"earliest": "2024-01-01T00:00:00Z", "latest": "2024-01-01T00:01:40Z"}
+    assert values(s, "index=e | stats sparkline(count, 20s) AS s BY host | sort host", "s", **kw) == [["##__SPARKLINE__##", "2", "0", "0", "0", "0"], ["##__SPARKLINE__##", "0", "1", "1", "0", "0"]]
+    assert [len(x) for x in values(s, "index=e | stats sparkline(count, 1s) AS s", "s", **kw)] == [101]
+    assert [len(x) for x in values(s, "index=e | stats sparkline(count) AS s", "s", earliest="2024-01-01T00:00:00Z", latest="2024-01-01T00:01:41Z")] == [22]
+    with pytest.raises(DataError, match="101 points"):
+        s.search("index=e | stats sparkline(count, 1s) AS s", "2024-01-01T00:00:00Z", "2024-01-01T00:01:41Z", now=1_704_100_000.0).collect()
+
+
+def test_timeline_slots_begin_with_1_2_or_5(s):
+    for end, slots, span in (("2024-01-01T00:01:00Z", 10, 10), ("2024-01-01T00:01:00Z", 7, 10), ("2024-01-01T00:01:00Z", 5, 20), ("2024-01-11T00:00:00Z", 50, 20_000), ("2024-01-11T00:00:00Z", 1000, 1000)):
+        t = analysis.timeline(s, "index=e", "2024-01-01T00:00:00Z", end, slots=slots).collect()
+        assert {r["slot_end"] - r["slot_start"] for r in t} == {span} and len(t) <= slots and sum(r["n"] for r in t) == 5
+
+
+def test_values_and_mode(spark, monkeypatch):
+    from tidelog.operators import grouping
+
+    df = spark.createDataFrame([(i, T0, f"v{i % 7}", "a" if i < 20 else "b") for i in range(30)] + [(99, T0, None, "c")], "id long, at timestamp, x string, g string")
+    c = Catalog()
+    c.add(Binding("t", lambda _: df, time="at", keys=("id",)))
+    q = Session(spark, c, default_index="t")
+    assert values(q, "index=t | stats values(x) AS v, mode(x) AS m BY g | sort g", "v", "m") == [([f"v{i}" for i in range(7)], "v0"), ([f"v{i}" for i in range(7)], "v0"), ([], None)]
+    monkeypatch.setattr(grouping, "VALUES_ENTRIES", 6)
+    with pytest.raises(Exception, match="more than 6 entries"):
+        q.search("index=t | stats values(x) AS v BY g").collect()
+
+
+def test_catalog_and_summary_fail_rather_than_cut(spark, s, monkeypatch):
+    df = spark.createDataFrame([(1, T0, '{"a":1,"b":null,"c":{"x":1}}'), (2, T0, '{"a":"t"}'), (3, T0, "no json"), (4, T0, None)], "id long, at timestamp, j string")
+    c = Catalog()
+    c.add(Binding("t", lambda _: df, time="at", keys=("id",), json="j"))
+    q = Session(spark, c, default_index="t")
+    got = {r["field"]: tuple(r)[2:] for r in analysis.field_catalog(q, "index=t").collect()}
+    assert got["a"] == ("number,string", 4, 2, 0, 2) and got["b"] == ("", 4, 0, 1, 3) and got["c"] == ("object", 4, 1, 0, 3) and got["j"] == ("string", 4, 3, 1, 0)
+    monkeypatch.setattr(analysis, "CATALOG_FIELDS", 7)
+    with pytest.raises(DataError):
+        analysis.field_catalog(q, "index=t")
+    monkeypatch.setattr(analysis, "SUMMARY_DIFFERENT", 2)
+    with pytest.raises(DataError):
+        analysis.field_summary(q, "index=t", "id")
+    with pytest.raises(SearchError):
+        analysis.field_summary(q, "index=t", "id", values=101)
+
+
+def test_sorted_events_are_numbered_in_ranges(s):
+    plan = s.explain("index=e | sort 0 n | accum id AS t | delta n AS d | streamstats window=2 sum(n) AS w")
+    assert "Exchange SinglePartition" not in plan.replace("BroadcastExchange", "")
+    assert values(s, "index=e | sort 0 n, -id | accum id AS t | delta id AS d | streamstats count AS c | table id t d c", "id", "t", "d", "c") == [(3, 3.0, None, 1), (1, 4.0, -2.0, 2), (5, 9.0, 4.0, 3), (4, 13.0, -1.0, 4), (2, 15.0, -2.0, 5)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +44,30 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint.
-
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a session that runs in one process
-    (local runs and tests) gets a temporary folder where that is unset; on a cluster, whose machines don't share
-    such a folder, it is an error.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``. Only a session that runs in one
+    process (local runs and tests) gets a temporary folder where that is unset; on a cluster, whose machines don't
+    share such a folder, it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidelog-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, for tables that are written and read again."""
+    return f"{_shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def rows_at_most(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; stops counting beyond the bound."""
     return df.limit(bound + 1).count() <= bound

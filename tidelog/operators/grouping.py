@@ -1,7 +1,7 @@
 """Grouped aggregates: stats, eventstats, top and rare.
 
-All measures that combine before the shuffle go into one aggregation. Those that can't - lists in order, and measures
-of multivalue fields - are aggregated by themselves and joined by group, on one row a group.
+All measures that combine before the shuffle go into one aggregation. Those that can't - lists in order, different or
+commonest values, and measures of multivalue fields - are aggregated by themselves and joined by group, on one row a group.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from tidelog.common import PRIVATE, ident
 from tidelog.functions.scalars import Value
 from tidelog.functions.values import mixed_struct
 from tidelog.operators.ordering import _same
-from tidelog.plans.errors import SearchError
+from tidelog.plans.errors import DataError, SearchError
 from tidelog.plans.nodes import Command, Field, Measure
 from tidelog.plans.parser import is_boolean
 from tidelog.plans.relation import KEY, TIME, Relation
@@ -88,18 +88,13 @@ class _Builder:
             if v.kind == "bool" and not isinstance(m.arg, Field):
                 return self.agg(F.count_if(F.col(self.input(v.col))))
             return self.agg(F.count(F.col(self.input(v.col))))
-        text = self.input(v.txt) if f in ("dc", "estdc", "estdc_error", "values", "mode") else None
+        text = self.input(v.txt) if f in ("dc", "estdc", "estdc_error") else None
         if f == "dc":
             return self.agg(F.count_distinct(F.col(text)))
         if f in ("estdc", "estdc_error"):
             n = self.agg(F.expr(f"hll_sketch_estimate(hll_sketch_agg(`{text}`, 17))"))
             n = F.coalesce(n, F.lit(0))
             return n if f == "estdc" else F.when(n < ESTDC_FROM, F.lit(0.0)).otherwise(F.lit(ESTDC_ERROR))
-        if f == "values":
-            s = self.agg(F.array_sort(F.collect_set(F.col(text))))
-            return F.when(F.size(s) > VALUES_ENTRIES, F.raise_error(F.lit(f"values has more than {VALUES_ENTRIES} entries"))).otherwise(s)
-        if f == "mode":
-            return self.agg(F.mode(F.col(text), deterministic=True))
         if f in ("min", "max"):
             if v.kind in ("number", "time", "bool"):
                 return self.agg((F.min if f == "min" else F.max)(F.col(self.input(v.col))))
@@ -171,25 +166,53 @@ def _listed(rel: Relation, groups: Sequence[str], v: Value, n: int, last: bool)
     return df.groupBy(*[ident(g) for g in groups]).agg((F.slice(F.flatten(got), 1, n) if v.kind == "mv" else got).alias(PRIVATE + "list"))
 
 
+def _values(rel: Relation, groups: Sequence[str], text: Column) -> DataFrame:
+    """The different values per group in order, as an array; more than ``VALUES_ENTRIES`` are an error. Values are made
+    different before the shuffle, and no more of a group than would be one too many are ever gathered."""
+    value, rank = PRIVATE + "lv", PRIVATE + "lr"
+    each = rel.df.select(*[ident(g) for g in groups], text.cast("string").alias(value)).where(F.col(value).isNotNull()).distinct()
+    w = Window.partitionBy(*[ident(g) for g in groups] or [F.lit(0)]).orderBy(value)
+    got = F.transform(F.array_sort(F.collect_list(F.struct(rank, value))), lambda s: s[value])
+    few = F.when(F.count(F.lit(1)) > VALUES_ENTRIES, F.raise_error(F.lit(f"values has more than {VALUES_ENTRIES} entries"))).otherwise(got)
+    return each.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= VALUES_ENTRIES + 1).groupBy(*[ident(g) for g in groups]).agg(few.alias(PRIVATE + "list"))
+
+
+def _mode(rel: Relation, groups: Sequence[str], text: Column) -> DataFrame:
+    """The commonest value per group, of equally common ones the least: values are counted first, then compared."""
+    value = PRIVATE + "lv"
+    counts = rel.df.select(*[ident(g) for g in groups], text.alias(value)).where(F.col(value).isNotNull()).groupBy(*[ident(g) for g in groups], value).agg((-F.count(F.lit(1))).alias("c"))
+    return counts.groupBy(*[ident(g) for g in groups]).agg(F.min(F.struct("c", value))[value].alias(PRIVATE + "list"))
+
+
 def _sparkline(rel: Relation, groups: Sequence[str], m: Measure) -> DataFrame:
-    """Per group a list of a mark and one value per slot, from the group's first slot to its last."""
+    """Per group a list of a mark and one value per slot of the search's range, or of the data's where it is open.
+    More than ``POINTS`` slots are an error; without a span it is the shortest of a fixed list that needs no more."""
     if not rel.is_events:
         raise SearchError("SPL_UNSUPPORTED_AGGREGATE", "sparkline needs events with a time")
     time = F.unix_micros(F.col(TIME).cast("timestamp"))
+    earliest, latest = rel.ctx.earliest, rel.ctx.latest
+    if earliest is None or latest is None:
+        lo, hi = rel.df.agg(F.min(time), F.max(time)).first()
+        lo, hi = (0, 1) if lo is None else (lo, hi + 1)
+    else:
+        lo, hi = round(earliest * 1_000_000), round(latest * 1_000_000)
+    lo, hi = (lo if earliest is None else round(earliest * 1_000_000)), (hi if latest is None else round(latest * 1_000_000))
+    ends = lambda span: (lo // span, max(-(-hi // span) - 1, lo // span))
+    points = lambda span: ends(span)[1] - ends(span)[0] + 1
     if m.span:
         span = int(m.span[0] * _UNIT_S[m.span[1] or "s"] * 1_000_000)
     else:
-        lo, hi = rel.df.agg(F.min(time), F.max(time)).first()
-        width = 0 if lo is None else (hi - lo) / 1e6
-        span = next((s for s in LADDER if width / s < POINTS - 1), LADDER[-1]) * 1_000_000
+        span = next((s * 1_000_000 for s in LADDER if points(s * 1_000_000) <= POINTS), LADDER[-1] * 1_000_000)
+    if points(span) > POINTS:
+        raise DataError(f"the sparkline has {points(span)} points, more than {POINTS}")
+    first, last = ends(span)
     slot = PRIVATE + "sp"
     inner = aggregate(rel.with_(df=rel.df.withColumn(slot, F.floor(time / F.lit(span)).cast("bigint"))), [replace(m.inner, alias=PRIVATE + "sv")], [*groups, slot])
     keyed = F.map_from_entries(F.collect_list(F.struct(F.col(slot), F.col(PRIVATE + "sv").cast("string"))))
-    per = inner.where(F.col(slot).isNotNull()).groupBy(*[ident(g) for g in groups]).agg(keyed.alias("m"), F.min(slot).alias("lo"), F.max(slot).alias("hi"))
-    per = per.withColumn("hi", F.least("hi", F.col("lo") + POINTS - 1))
+    per = inner.where(F.col(slot).isNotNull()).groupBy(*[ident(g) for g in groups]).agg(keyed.alias("m"))
     empty = "0" if m.inner.func in ("count", "dc") else ""
-    points = F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(empty)))
-    return per.select(*[ident(g) for g in groups], F.concat(F.array(F.lit("##__SPARKLINE__##")), points).alias(PRIVATE + "list"))
+    line = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(empty)))
+    return per.select(*[ident(g) for g in groups], F.concat(F.array(F.lit("##__SPARKLINE__##")), line).alias(PRIVATE + "list"))
 
 
 def aggregate(rel: Relation, measures: Sequence[Measure], groups: Sequence[str], allnum: bool = False) -> DataFrame:
@@ -201,6 +224,11 @@ def aggregate(rel: Relation, measures: Sequence[Measure], groups: Sequence[str],
         v = measure_value(rel, m)
         if m.func == "sparkline":
             apart.append((m, _sparkline(rel, groups, m)))
+        elif m.func in ("values", "mode"):
+            text, source = v.txt, rel
+            if v.kind == "mv":
+                source, text = rel.with_(df=rel.df.withColumn(PRIVATE + "fx", F.explode(v.col))), F.col(PRIVATE + "fx")
+            apart.append((m, (_values if m.func == "values" else _mode)(source, groups, text)))
         elif m.func == "list" or (m.func in ("first", "last") and v.kind != "mv" and not (not rel.order or uniform(rel))):
             apart.append((m, _listed(rel, groups, v, LIST_ENTRIES if m.func == "list" else 1, m.func == "last")))
         elif v is not None and v.kind == "mv" and m.func == "count":
@@ -227,6 +255,8 @@ def aggregate(rel: Relation, measures: Sequence[Measure], groups: Sequence[str],
             c = F.col(names[m.alias])
             if m.func in ("first", "last"):
                 c = F.get(c, F.lit(0))
+            elif m.func == "values":
+                c = F.coalesce(c, F.array().cast("array<string>"))
             cols.append(c.alias(m.alias))
         else:
             cols.append(outs[m.alias].alias(m.alias))

@@ -111,49 +111,60 @@ def combine_partials(partials: DataFrame, keys: Sequence[str], values: Sequence[
     return partials.groupBy(*[ident(c) for c in keys], "period_start").agg(*aggs)
 
 
+_DAY = 86_400
+
+
 class PeriodStore:
     """Partials kept in a folder, one sub-folder per merged batch, combined on read.
 
     ``merge`` reduces a batch to partials and writes them under its batch id; writing the same id again replaces
-    it, so a retried batch changes nothing. Identities that were accepted are kept beside the partials, by period,
-    so that a redelivery in a later batch isn't counted again; those of periods past their cut-off need no lookup,
-    since every later record of them is refused anyway.
+    it, so a retried batch changes nothing. The identities of a batch are kept beside the partials by the day of their
+    period, so that a redelivery in a later batch counts nowhere again; a batch reads those of the days that it touches
+    and no others, however many batches there were.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], *, event_time: str, arrival: str, identity: Sequence[str], rule: Lateness = Lateness()):
-        self.spark, self.path, self.keys, self.identity = spark, path.rstrip("/"), list(keys), list(identity)
+    #: Days of a batch by which the known identities are read; a batch that touches more reads all of them.
+    MOST_DAYS = 2000
+
+    def __init__(
+        self, spark: SparkSession, path: str, keys: Sequence[str], *, event_time: str, arrival: str, identity: Sequence[str], values: Sequence[str] = (), rule: Lateness = Lateness(),
+    ):
+        self.spark, self.path, self.keys, self.identity, self.values = spark, path.rstrip("/"), list(keys), list(identity), list(values)
         self.event_time, self.arrival, self.rule = event_time, arrival, rule
 
     def _read(self, part: str) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/{part}")
+            return self.spark.read.option("basePath", f"{self.path}/{part}").parquet(f"{self.path}/{part}")
         except AnalysisException:
             return None
 
     def merge(self, batch: DataFrame, batch_id: str) -> None:
         """Add a batch. Batches come in order of arrival; within a batch any order will do."""
-        new = batch
-        seen = self._read("seen")
+        day = div(micros(self.event_time) - F.pmod(micros(self.event_time), F.lit(_DAY * 1_000_000)), F.lit(_DAY * 1_000_000))
+        new, seen = batch, self._read("seen")
         if seen is not None:
-            opened = batch.agg(F.min(micros(self.arrival))).first()[0]
-            if opened is not None:  # only periods still open when this batch began can hold a known identity that matters
-                still = opened // 1_000_000 - self.rule.period_s - self.rule.cutoff_s
-                seen = seen.where((F.col("period_start") >= F.lit(still)) & (F.col("batch_id") != F.lit(str(batch_id))))
-                cond = [batch[c] == seen[f"id{i}"] for i, c in enumerate(self.identity)]
-                new = batch.join(seen, cond, "left_anti")
-        period_partials(new, self.keys, event_time=self.event_time, arrival=self.arrival, identity=self.identity, rule=self.rule).write.mode("overwrite").parquet(f"{self.path}/partials/batch_id={batch_id}")
+            days = [r[0] for r in batch.select(day.alias("d")).distinct().where("d is not null").limit(self.MOST_DAYS + 1).collect()]
+            if len(days) <= self.MOST_DAYS:
+                seen = seen.where(F.col("day").isin(days))
+            seen = seen.where(F.col("batch_id") != F.lit(str(batch_id)))
+            cond = [batch[c] == seen[f"id{i}"] for i, c in enumerate(self.identity)]
+            new = batch.join(seen, cond, "left_anti")
+        partials = period_partials(new, self.keys, event_time=self.event_time, arrival=self.arrival, identity=self.identity, values=self.values, rule=self.rule)
+        partials.write.mode("overwrite").parquet(f"{self.path}/partials/batch_id={batch_id}")
         known = F.lit(True)
         for c in self.identity:
             known = known & ident(c).isNotNull()
-        new.where(known).select(*[ident(c).alias(f"id{i}") for i, c in enumerate(self.identity)], _exact_floor(micros(self.event_time), self.rule.period_s).alias("period_start")).distinct().write.mode("overwrite").parquet(f"{self.path}/seen/batch_id={batch_id}")
+        ids = new.where(known).select(*[ident(c).alias(f"id{i}") for i, c in enumerate(self.identity)], day.alias("day")).distinct()
+        # files by day, each of one task, however many days a batch's late records reach back
+        ids.repartition("day", F.pmod(F.hash(*[f"id{i}" for i in range(len(self.identity))]), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/seen/batch_id={batch_id}")
 
     def read(self) -> DataFrame:
         """The aggregates of every period, from all batches merged so far."""
         got = self._read("partials")
         if got is None:
             raise ValueError(f"nothing has been merged under {self.path}")
-        return combine_partials(got, self.keys)
+        return combine_partials(got, self.keys, self.values)
 
     def compact(self, into: str) -> None:
-        """Write the partials merged per period, without the batches, to another folder."""
+        """Write the aggregates of every period, without the batches, to another folder."""
         self.read().write.mode("overwrite").parquet(into)

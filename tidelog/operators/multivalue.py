@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelog.common import PRIVATE
+from tidelog.functions.values import parsed_whole
 from tidelog.plans.errors import SearchError
 from tidelog.plans.nodes import Command
 from tidelog.plans.relation import Order, Relation
@@ -44,39 +45,42 @@ def mvexpand(rel: Relation, c: Command) -> Relation:
     return rel.with_(df=df.select(*[F.col(f"`{n}`") for n in order], made), order=(*rel.order, Order(made)), flat=rel.flat - {c["field"]})
 
 
+def _leaf(found: Column) -> Column:
+    """A scalar of a JSON document as text, an explicit null as null. Objects and arrays fail the search."""
+    inner = F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
+    return F.when(inner, F.raise_error(F.lit("spath reaches an object or an array"))).otherwise(found.cast("string"))
+
+
 def spath(rel: Relation, c: Command) -> Relation:
-    """A value from JSON text by path; without a match the output keeps what it had. With ``{}`` in the path, a list
-    of all members, depth first."""
+    """A value from JSON text by path; without a match the output keeps what it had.
+
+    With ``{}`` in the path, a list of all members, depth first: missing keys and what isn't an array are passed over,
+    explicit nulls stay, a matched empty array is an empty list, and an output that is no list can't be kept. A path
+    that ends at an object, or with ``{}`` at a nested array, fails the search rather than giving part of a list.
+    """
     text, path = rel.field(c["input"]).txt, c["path"]
     steps = re.findall(r"([\w@$-]+)|\{(\d*)\}", path)
-    old = rel.field(c["output"])
+    old, document = rel.field(c["output"]), parsed_whole(text)
     if "{}" not in path:
-        jpath = "$" + "".join(f"['{name}']" if name else f"[{index}]" for name, index in steps)
-        found = F.get_json_object(text, jpath)
-        return rel.set({c["output"]: F.coalesce(found, F.lit(None).cast("string") if old.kind == "null" else old.txt)})
-    items: Column = F.array(F.when(F.try_parse_json(text).isNotNull(), text))
-    run = ""
-
-    def down(run: str, items: Column) -> Column:
-        return F.transform(items, lambda x: F.get_json_object(x, "$" + run)) if run else items
-
-    last = steps[-1] == ("", "")
-    for i, (name, index) in enumerate(steps):
-        if name:
-            run += f"['{name}']"
-        elif index:
-            run += f"[{index}]"
+        found = F.try_variant_get(document, "$" + "".join(f"['{name}']" if name else f"[{index}]" for name, index in steps), "variant")
+        return rel.set({c["output"]: F.when(found.isNotNull(), _leaf(found)).otherwise(F.lit(None).cast("string") if old.kind == "null" else old.txt)})
+    items, run = F.array(document), ""
+
+    def down(kind: str) -> Column:
+        return F.filter(F.transform(items, lambda x: F.try_variant_get(x, "$" + run, kind)), lambda x: x.isNotNull())
+
+    for name, index in steps:
+        if name or index:
+            run += f"['{name}']" if name else f"[{index}]"
         else:
-            lists = down(run, items)
-            # only arrays have members; each comes back as JSON text
-            members = F.transform(lists, lambda x: F.when(x.startswith("["), F.from_json(F.concat(F.lit('{"a":'), x, F.lit("}")), "a array<string>")["a"]))
-            items, run = F.flatten(F.filter(members, lambda x: x.isNotNull())), ""
-    found = down(run, items)
-    if not last:
-        found = F.filter(found, lambda x: x.isNotNull())
-    hit = text.isNotNull() & ((F.size(found) > 0) | F.get_json_object(text, "$" + "".join(f"['{n}']" if n else f"[{k}]" if k else "[*]" for n, k in steps)).isin("[]"))
+            lists = down("array<variant>")
+            items, run = F.flatten(lists), ""
+    found = down("variant") if run else items
+    hit = (F.size(found) > 0) if run else F.size(lists) > 0
     before = old.col if old.kind == "mv" else F.lit(None).cast("array<string>")
-    return rel.set({c["output"]: F.when(hit, _capped(found)).otherwise(before)})
+    if old.kind not in ("mv", "null"):
+        before = F.when(old.col.isNotNull(), F.raise_error(F.lit("spath can't put a list beside the output's single values"))).otherwise(before)
+    return rel.set({c["output"]: F.when(hit, F.transform(_capped(found), _leaf)).otherwise(before)})
 
 
 __all__ = ["PRIVATE", "makemv"]

@@ -1,10 +1,10 @@
 """Commands that depend on the established order of rows.
 
-A whole relation in one order would be one task. Rows are numbered in two steps instead: within slots of the leading
-time column, each slot by itself, and then shifted by the counts of the slots before, of which there is one row an
-hour. Running aggregates add up the same way. Finite frames are cut into blocks of numbered rows that carry along as
-many rows of the block before as the frame reaches back. Relations that aren't led by a time - results of
-transforming commands - are small by the limits on groups and use one plain window.
+A whole relation in one order would be one task. Rows are put into ranges of the order instead, as many as there are
+shuffle partitions and of like size, and written once in that order, so that every later step sees the same ranges. A
+row's number is its place in its range plus the rows of the ranges before, of which there is one count a range. Running
+aggregates add up the same way. Finite frames are cut into blocks of numbered rows that carry along as many rows of
+the block before as the frame reaches back.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, div, ident
+from tidelog.common import PRIVATE, cut, div, ident
 from tidelog.functions.values import mixed_struct, order_key
 from tidelog.plans.nodes import Command, Measure
 from tidelog.plans.relation import KEY, TIME, Order, Relation
 
-SLOT, NUMBER, BLOCK = PRIVATE + "slot", PRIVATE + "rn", PRIVATE + "blk"
+SLOT, PLACE, NUMBER, BLOCK = PRIVATE + "slot", PRIVATE + "at", PRIVATE + "rn", PRIVATE + "blk"
 BLOCK_ROWS = 200_000
 
 
@@ -64,16 +64,14 @@ def dedup(rel: Relation, c: Command) -> Relation:
 
 
 # numbering and running aggregates -----------------------------------------------------------------------------------
-def _slotted(rel: Relation) -> bool:
-    return bool(rel.order) and rel.order[0].column in rel.df.columns and rel.kind(rel.order[0].column) == "time"
-
-
-def _slot(rel: Relation) -> Column:
-    """The hour of the leading time, counted so that later in the order is greater; null comes last as in the order."""
-    first = rel.order[0]
-    hour = div(F.unix_micros(ident(first.column).cast("timestamp")), F.lit(3_600_000_000))
-    hour = -hour if first.desc else hour
-    return F.coalesce(hour, F.lit(2**40 if first.nulls_last else -(2**40)))
+def _ranged(rel: Relation) -> DataFrame:
+    """The rows in ranges of the order: ``SLOT``, the range, rising with the order, and ``PLACE``, the place in it from 0.
+    Where there is no order, a hash of the row makes one; rows that are equal in it stand in any order, but in one."""
+    keys = rel.sort_exprs() or [F.xxhash64(*[ident(c).cast("string") for c in rel.df.columns])]
+    df = rel.df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits for the row's place
+    df = cut(df.withColumn(PLACE, at))
+    return df.withColumn(SLOT, F.shiftright(PLACE, 33)).withColumn(PLACE, F.col(PLACE).bitwiseAND(F.lit(2**33 - 1)))
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -89,16 +87,18 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def numbered(rel: Relation, groups: Sequence[str] = ()) -> Relation:
     """The relation with the number of every row (from 1) in the established order, by groups if there are any."""
-    if not _slotted(rel):
-        w = Window.partitionBy(*[ident(g) for g in groups] or [F.lit(0)]).orderBy(*(rel.sort_exprs() or [F.lit(0)]))
-        return rel.with_(df=rel.df.withColumn(NUMBER, F.row_number().over(w).cast("bigint")))
-    df = rel.df.withColumn(SLOT, _slot(rel))
-    keys = [*groups, SLOT]
+    df, keys = _ranged(rel), [*groups, SLOT]
+    counts = df.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).alias(PRIVATE + "c"))
+    # one row per range, and per group in it
     before = Window.partitionBy(*[ident(g) for g in groups] or [F.lit(0)]).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    shift = df.groupBy(*[ident(k) for k in keys]).agg(F.count(F.lit(1)).alias(PRIVATE + "c")).withColumn(PRIVATE + "c", F.coalesce(F.sum(PRIVATE + "c").over(before), F.lit(0)))
-    w = Window.partitionBy(*[ident(k) for k in keys]).orderBy(*rel.sort_exprs())
-    df = _same(df.withColumn(NUMBER, F.row_number().over(w).cast("bigint")), shift, keys)
-    return rel.with_(df=df.withColumn(NUMBER, F.col(NUMBER) + F.col(PRIVATE + "c")).drop(PRIVATE + "c", SLOT))
+    shift = counts.withColumn(PRIVATE + "c", F.coalesce(F.sum(PRIVATE + "c").over(before), F.lit(0)))
+    if groups:
+        w = Window.partitionBy(*[ident(k) for k in keys]).orderBy(PLACE)
+        df = df.withColumn(NUMBER, F.row_number().over(w).cast("bigint"))
+    else:
+        df, shift = df.withColumn(NUMBER, F.col(PLACE) + 1), F.broadcast(shift)
+    df = _same(df, shift, keys)
+    return rel.with_(df=df.withColumn(NUMBER, F.col(NUMBER) + F.col(PRIVATE + "c")).drop(PRIVATE + "c", SLOT, PLACE))
 
 
 def _blocked(rel: Relation, groups: Sequence[str], reach: int) -> DataFrame:
@@ -174,20 +174,16 @@ def _along(rel: Relation, measures: Sequence[Measure], by: Sequence[str], curren
         w = Window.partitionBy(*[ident(g) for g in groups], BLOCK).orderBy(NUMBER).rowsBetween(last - window + 1, last)
         df = df.select("*", *[agg(n).over(w).alias(n + "o") for r in runs for n, agg, _ in r.names]).where(PRIVATE + "own").drop(BLOCK, PRIVATE + "own", NUMBER)
         state = {n: F.col(n + "o") for r in runs for n, _, _ in r.names}
-    elif _slotted(rel):
-        df = base.df.withColumn(SLOT, _slot(base))
+    else:
+        df = _ranged(base)
         keys = [*groups, SLOT]
         before = Window.partitionBy(*[ident(g) for g in groups] or [F.lit(0)]).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
         parts = [(n, agg, both) for r in runs for n, agg, both in r.names]
         prior = df.groupBy(*[ident(k) for k in keys]).agg(*[agg(n).alias(n + "p") for n, agg, _ in parts])
         prior = prior.select(*[ident(k) for k in keys], *[agg(n + "p").over(before).alias(n + "p") for n, agg, _ in parts])
-        w = Window.partitionBy(*[ident(k) for k in keys]).orderBy(*base.sort_exprs()).rowsBetween(Window.unboundedPreceding, last)
-        df = _same(df.select("*", *[agg(n).over(w).alias(n + "o") for n, agg, _ in parts]), prior, keys)
+        w = Window.partitionBy(*[ident(k) for k in keys]).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, last)
+        df = _same(df.select("*", *[agg(n).over(w).alias(n + "o") for n, agg, _ in parts]), prior if groups else F.broadcast(prior), keys)
         state = {n: both(F.col(n + "p"), F.col(n + "o")) for n, _, both in parts}
-    else:
-        w = Window.partitionBy(*[ident(g) for g in groups] or [F.lit(0)]).orderBy(*(base.sort_exprs() or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, last)
-        df = base.df.select("*", *[agg(n).over(w).alias(n + "o") for r in runs for n, agg, _ in r.names])
-        state = {n: F.col(n + "o") for r in runs for n, _, _ in r.names}
     known = None
     for g in groups:
         known = F.col(g).isNotNull() if known is None else known & F.col(g).isNotNull()

@@ -7,22 +7,22 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, div, ident
+from tidelog.common import PRIVATE, div, ident, rows_at_most
 from tidelog.plans.engine import LOWERING, Session, reads, referenced
-from tidelog.plans.errors import SearchError
+from tidelog.plans.errors import DataError, SearchError
 from tidelog.plans.parser import ALIASES, COMMANDS, FUNCTIONS, PLAIN_AGGREGATES
 from tidelog.plans.relation import TIME, Relation
 
-#: Lengths that a timeline's slots may have, in seconds; slots by default and at most.
-NICE = (1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 900, 1800, 3600, 7200, 10_800, 21_600, 43_200, 86_400, 172_800, 604_800, 2_592_000)
-DEFAULT_SLOTS, MOST_SLOTS = 100, 1000
-CATALOG_FIELDS, SUMMARY_VALUES = 10_000, 100
+#: Slots of a timeline by default and at most, and the digits with which their lengths in seconds begin.
+DEFAULT_SLOTS, MOST_SLOTS, NICE = 100, 1000, (1, 2, 5)
+#: Fields of a catalog; values that a summary shows, that it may find, and their bytes. Beyond them it fails.
+CATALOG_FIELDS, SUMMARY_VALUES, SUMMARY_DIFFERENT, SUMMARY_BYTES = 10_000, 100, 10_000, 256 * 1024
 
 
 def timeline(session: Session, source: str, earliest: str, latest: str, *, slots: int = DEFAULT_SLOTS, **options) -> DataFrame:
     """Events per slot over the whole range, slots without events included: ``slot_start, slot_end, n, is_partial``.
 
-    Slots have the shortest nice length that needs no more than ``slots`` of them. Only searches whose result is
+    Slots are 1, 2 or 5 times a power of ten seconds long, as short as ``slots`` of them allow. Only searches whose result is
     events have a timeline.
     """
     if not 1 <= slots <= MOST_SLOTS:
@@ -33,7 +33,9 @@ def timeline(session: Session, source: str, earliest: str, latest: str, *, slots
     lo, hi = rel.ctx.earliest, rel.ctx.latest
     if lo is None or hi is None:
         raise SearchError("SPL_INVALID_TIMELINE", "a timeline needs a closed range")
-    span = next((s for s in NICE if math.ceil(hi / s) - math.floor(lo / s) <= slots), None) or math.ceil((hi - lo) / slots / NICE[-1] + 1) * NICE[-1]
+    span = next((s for s in (d * 10**e for e in range(11) for d in NICE) if math.ceil(hi / s) - math.floor(lo / s) <= slots), None)
+    if span is None:
+        raise SearchError("SPL_INVALID_TIMELINE", f"the range doesn't fit into {slots} slots")
     first, last = math.floor(lo / span) * span, math.ceil(hi / span) * span
     us = F.unix_micros(F.col(TIME).cast("timestamp"))
     counts = rel.df.groupBy(div(us - F.pmod(us, F.lit(span * 1_000_000)), F.lit(1_000_000)).alias(PRIVATE + "at")).agg(F.count(F.lit(1)).alias(PRIVATE + "n"))
@@ -44,38 +46,54 @@ def timeline(session: Session, source: str, earliest: str, latest: str, *, slots
     )
 
 
-def _json_names(rel: Relation) -> DataFrame | None:
+def _json_fields(rel: Relation) -> DataFrame | None:
+    """A row per event and field of its JSON: ``field`` and the value's ``type``, which tells an explicit null from others."""
     root = rel.json_root
     if root is None or rel.closed or root not in rel.df.columns:
         return None
-    return rel.df.select(F.explode(F.json_object_keys(ident(root))).alias("field"), ident(root).alias("j")).select("field", F.call_function("get_json_object", F.col("j"), F.concat(F.lit("$['"), F.col("field"), F.lit("']"))).alias("v"))
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+    names = {"VOID": "null", "BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number", "STRING": "string", "BOOLEAN": "bool", "OBJECT": "object", "ARRAY": "list"}
+    typed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind), F.lit("null"))
+    return rel.df.select(F.explode(F.from_json(ident(root), "map<string, variant>")).alias("field", "v")).select("field", typed.alias("type"))
 
 
 def field_catalog(session: Session, source: str, *args, **options) -> DataFrame:
-    """Per field of the result: ``field, kind, n_events, n_present, n_null``; fields inside the events' JSON too.
+    """Per field of the result: ``field, kind, types, n_events, n_present, n_null, n_missing``; fields inside the events'
+    JSON too, with the types observed and an explicit null apart from a missing field (a column's nulls count as null).
 
-    Columns are counted in one pass over the data, whatever their number.
+    Columns are counted in one pass over the data, whatever their number. More than ``CATALOG_FIELDS`` fields are an error.
     """
     rel = session.relation(source, *args, **options)
-    names = rel.public[:CATALOG_FIELDS]
+    names = rel.public
+    inner = _json_fields(rel)
+    found = inner.where(~F.col("field").isin(names)) if inner is not None else None
+    if len(names) > CATALOG_FIELDS or (found is not None and not rows_at_most(found.select("field").distinct(), CATALOG_FIELDS - len(names))):
+        raise DataError(f"there are more than {CATALOG_FIELDS} fields")
     counts = rel.df.agg(F.count(F.lit(1)).alias(PRIVATE + "all"), *[F.count(ident(n)).alias(f"{PRIVATE}n{i}") for i, n in enumerate(names)])
     rows = counts.select(PRIVATE + "all", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.lit(rel.kind(n)).alias("kind"), F.col(f"{PRIVATE}n{i}").alias("n")) for i, n in enumerate(names)])).alias("x"))
-    out = rows.select("x.field", "x.kind", F.col(PRIVATE + "all").alias("n_events"), F.col("x.n").alias("n_present"), (F.col(PRIVATE + "all") - F.col("x.n")).alias("n_null"))
-    inner = _json_names(rel)
-    if inner is not None:
-        per = inner.where(~F.col("field").isin(names)).groupBy("field").agg(F.count(F.lit(1)).alias("p"), F.count("v").alias("n")).orderBy(F.desc("p"), "field").limit(CATALOG_FIELDS)
-        out = out.unionAll(per.crossJoin(F.broadcast(counts.select(PRIVATE + "all"))).select("field", F.lit("dynamic"), F.col(PRIVATE + "all"), F.col("n"), F.col("p") - F.col("n")))  # one row
+    out = rows.select("x.field", "x.kind", F.when(F.col("x.n") > 0, F.col("x.kind")).otherwise("").alias("types"), F.col(PRIVATE + "all").alias("n_events"), F.col("x.n").alias("n_present"), (F.col(PRIVATE + "all") - F.col("x.n")).alias("n_null"), F.lit(0).cast("long").alias("n_missing"))
+    if found is not None:
+        types = F.array_join(F.array_sort(F.collect_set(F.when(F.col("type") != "null", F.col("type")))), ",")  # of a handful
+        per = found.groupBy("field").agg(F.count(F.lit(1)).alias("p"), F.count_if(F.col("type") == "null").alias("z"), types.alias("types"))
+        every = F.col(PRIVATE + "all")
+        out = out.unionAll(per.crossJoin(F.broadcast(counts.select(every))).select("field", F.lit("dynamic"), "types", every, F.col("p") - F.col("z"), "z", every - F.col("p")))  # one row
     return out
 
 
 def field_summary(session: Session, source: str, field: str, *args, values: int = SUMMARY_VALUES, **options) -> DataFrame:
-    """The commonest values of a field: ``value, n, percent`` of the events that have it."""
+    """The commonest values of a field: ``value, n, percent`` of the events that have it. A field with more than
+    ``SUMMARY_DIFFERENT`` different values, or with one of more than ``SUMMARY_BYTES``, has no summary: it is an error."""
+    if not 1 <= values <= SUMMARY_VALUES:
+        raise SearchError("SPL_INVALID_FIELD_SUMMARY", f"1 to {SUMMARY_VALUES} values are expected")
     rel = session.relation(source, *args, **options)
     v = rel.field(field)
     rows = rel.df.select((F.explode(v.col) if v.kind == "mv" else v.txt.cast("string")).alias("value")).where("value is not null")
+    rows = rows.select(F.when(F.octet_length("value") > SUMMARY_BYTES, F.raise_error(F.lit("a value is too long for a summary"))).otherwise(F.col("value")).alias("value"))
     counts = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    if not rows_at_most(counts, SUMMARY_DIFFERENT):
+        raise DataError(f"{field} has more than {SUMMARY_DIFFERENT} different values")
     total = counts.agg(F.sum("n").alias("all"))
-    return counts.orderBy(F.desc("n"), "value").limit(min(values, SUMMARY_VALUES)).crossJoin(F.broadcast(total)).select("value", "n", (100.0 * F.col("n") / F.col("all")).alias("percent"))  # one row
+    return counts.orderBy(F.desc("n"), "value").limit(values).crossJoin(F.broadcast(total)).select("value", "n", (100.0 * F.col("n") / F.col("all")).alias("percent"))  # one row
 
 
 def suggestions(session: Session, text: str, limit: int = 20) -> list[dict]:

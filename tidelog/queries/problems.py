@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.common import div, micros, table
+from tidelog.common import div, micros, scratch, table
 from tidelog.operators import exactly_once as once
 from tidelog.operators import late_events as late
 from tidelog.operators import log_lines as logs
@@ -31,6 +31,15 @@ def p1_partials(spark: SparkSession, d: str) -> DataFrame:
     return _partials(spark, d)
 
 
+def p1_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The periods again, from a store into which the deliveries are merged day by day of arrival."""
+    rows = table(spark, d, "log_events").withColumn("arrived", F.date_format("index_time", "yyyy-MM-dd"))
+    store = late.PeriodStore(spark, scratch(spark, "periods"), ["index_name"], event_time="event_time", arrival="index_time", identity=IDENTITY)
+    for day in sorted(r[0] for r in rows.select("arrived").distinct().where("arrived is not null").collect()):  # one row a day
+        store.merge(rows.where(F.col("arrived") == day), day)
+    return store.read().drop("n_batches")
+
+
 _P1_ROWS = """
 WITH first AS (
   SELECT tenant_id, event_id, arg_min(index_name, index_time) AS index_name, arg_min(event_time, index_time) AS event_time, min(index_time) AS index_time
@@ -143,12 +152,13 @@ SELECT visibility_seq, CASE WHEN lay = 'pino' THEN CAST(ts AS BIGINT) // 1000 WH
 FROM y
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries, p6_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p1_merged, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries, p6_lines)}
 
 SQL = {
     "p1_found": _P1_ROWS + "SELECT index_name, period_start FROM marked GROUP BY 1, 2 HAVING count(*) FILTER (late) >= 1 AND 4 * count(*) FILTER (late) >= count(*) FILTER (ok)",
     "p1_periods": _P1_ROWS + "SELECT index_name, period_start, count(*) FILTER (ok) AS n_accepted, count(*) FILTER (late) AS n_late, count(*) FILTER (NOT ok) AS n_refused FROM marked GROUP BY 1, 2",
     "p1_partials": _P1_ROWS + "SELECT index_name, period_start, batch_start, count(*) FILTER (ok AND NOT late) AS n_on_time, count(*) FILTER (late) AS n_late, count(*) FILTER (NOT ok) AS n_refused FROM marked GROUP BY 1, 2, 3",
+    "p1_merged": _P1_ROWS + "SELECT index_name, period_start, count(*) FILTER (ok) AS n_accepted, count(*) FILTER (late) AS n_late, count(*) FILTER (NOT ok) AS n_refused FROM marked GROUP BY 1, 2",
     "p4_found": _P4_RANKED + "SELECT visibility_seq FROM ranked WHERE rn > 1",
     "p4_events": _P4_RANKED + "SELECT tenant_id, event_id, visibility_seq, index_name, CAST(length(raw) AS BIGINT) AS raw_chars, epoch_us(collected_at) AS collected_us FROM ranked WHERE rn = 1",
     "p4_copies": "SELECT copies, count(*) AS identities FROM (SELECT count(*) AS copies FROM log_events GROUP BY tenant_id, event_id) GROUP BY 1",

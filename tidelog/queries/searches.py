@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.common import ident, table
+from tidelog.common import ident, scratch, table
 from tidelog.plans import analysis
 from tidelog.plans.engine import Session
 from tidelog.plans.knowledge import Knowledge, Selector
 from tidelog.sources import readers, sinks
 from tidelog.sources.catalog import parquet_folder
+from tidelog.streaming import ingest
 
 NOW = 1_706_745_600.0  # 2024-02-01, after the last event
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +134,9 @@ add("cmd_rex_keeps_old", E + 'eval t="old" | rex field=event_type "^(?<t>c.)" |
 add("cmd_spath", E + "spath input=props path=k output=key | table event_id key", "SELECT event_id, json_extract_string(props, '$.k') AS key FROM events")
 _J = 'eval j="{\\"a\\":[{\\"b\\":\\"x" . user_id . "\\"},{\\"b\\":\\"y\\"},{\\"c\\":1}],\\"d\\":{\\"e\\":[5,6]}}" | '
 add("cmd_spath_wildcard", E + _J + "spath input=j path=a{}.b output=b | spath input=j path=d.e{1} output=e | spath input=j path=d.e{} output=es | table event_id b e es", "SELECT event_id, 'x' || user_id || '|y' AS b, '6' AS e, '5|6' AS es FROM events")
+_N = 'eval j="{\\"a\\":[{\\"b\\":null},{\\"b\\":" . user_id . "},{\\"c\\":2},7,{\\"b\\":true}],\\"n\\":null,\\"e\\":[],\\"g\\":[{\\"u\\":[1,null]},{\\"u\\":[]},{\\"u\\":[\\"x\\"]}]}", n="old", m="old" | '
+add("cmd_spath_nulls", E + _N + "spath input=j path=a{}.b output=b | spath input=j path=n output=n | spath input=j path=nope output=m | spath input=j path=e{} output=e | spath input=j path=g{}.u{} output=u | table event_id b n m e u",
+    "SELECT event_id, 'null|' || user_id || '|true' AS b, CAST(NULL AS VARCHAR) AS n, 'old' AS m, '' AS e, '1|null|x' AS u FROM events")
 add("cmd_fields_table", E + "fields user_id, value | table value user_id nope", "SELECT value, user_id, CAST(NULL AS VARCHAR) AS nope FROM (SELECT round(value, 4) AS value, user_id FROM events)")
 add("cmd_fields_exclude", "index=region | fields - index, r_regionkey", "SELECT r_name FROM region")
 add("cmd_rename", E + "rename user_id AS u, value AS \"the value\" | table event_id u \"the value\"", 'SELECT event_id, user_id AS u, round(value, 4) AS "the value" FROM events')
@@ -162,6 +166,10 @@ add("cmd_streamstats_not_current", E + "streamstats current=false count(eval(val
     "SELECT event_id, count(*) FILTER (value > 50) OVER w AS n, round(last_value(value) OVER w, 4) AS e, round(first_value(value) OVER w, 4) AS l FROM events WINDOW w AS (ORDER BY ts DESC, event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 add("cmd_streamstats_window", E + "streamstats window=5 avg(value) AS a, max(user_id) AS m | table event_id a m", "SELECT event_id, round(avg(value) OVER w, 4) AS a, max(user_id) OVER w AS m FROM events WINDOW w AS (ORDER BY ts DESC, event_id DESC ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 add("cmd_streamstats_window_by", E + "streamstats current=f window=3 global=f sum(value) AS s BY event_type | table event_id s", "SELECT event_id, round(sum(value) {}, 4) AS s FROM events".format(_W.format("3 PRECEDING AND 1 PRECEDING")))
+add("cmd_accum_sorted", E + "sort 0 value, event_id | accum user_id AS total | table event_id total", "SELECT event_id, CAST(sum(user_id) OVER (ORDER BY value, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS total FROM events")
+add("cmd_delta_sorted", E + "sort 0 -value, event_id | delta value AS d p=2 | table event_id d", "SELECT event_id, round(value - lag(value, 2) OVER (ORDER BY value DESC, event_id), 4) AS d FROM events")
+add("cmd_streamstats_sorted", E + "sort 0 event_type, value, event_id | streamstats count AS n, max(user_id) AS m BY event_type | streamstats window=4 sum(value) AS s | table event_id n m s",
+    "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY value, event_id) AS n, max(user_id) OVER (PARTITION BY event_type ORDER BY value, event_id) AS m, round(sum(value) OVER (ORDER BY event_type, value, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 4) AS s FROM events")
 # lookups ------------------------------------------------------------------------------------------------------------
 add("cmd_lookup", "index=customer | eval key=tostring(c_nationkey) | lookup nations n_nationkey AS key OUTPUT n_name AS nation | stats count, sum(c_acctbal) AS s BY nation",
     "SELECT n_name AS nation, count(*) AS count, round(sum(c_acctbal), 4) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", lookups=True)
@@ -180,7 +188,8 @@ add("agg_exact_percentiles", "index=lineitem | stats exactperc50(l_quantity) AS
 add("agg_percentiles", "index=lineitem | stats p95(l_quantity) AS a, perc5(l_quantity) AS b, median(l_quantity) AS c, upperperc90(l_quantity) AS d BY l_linestatus",
     "SELECT l_linestatus, round(quantile_disc(l_quantity, 0.95), 4) AS a, round(quantile_disc(l_quantity, 0.05), 4) AS b, round(quantile_disc(l_quantity, 0.5), 4) AS c, round(quantile_disc(l_quantity, 0.9), 4) AS d FROM lineitem GROUP BY 1")
 add("agg_distinct", "index=log_events | stats dc(host) AS d, distinct_count(service) AS s BY index", "SELECT index_name AS index, count(DISTINCT host) AS d, count(DISTINCT service) AS s FROM log_events GROUP BY 1")
-add("agg_estimated_distinct", "index=log_events | stats estdc(host) AS d, estdc_error(host) AS e BY index")
+add("agg_estimated_distinct", "index=log_events | stats estdc(host) AS d, dc(host) AS x, estdc_error(host) AS e BY index | eval within=if(d>=x*0.98-1 AND d<=x*1.02+1, 1, 0), stated=if(d<1000, if(e=0, 1, 0), if(e>0 AND e<0.003, 1, 0)) | table index x within stated",
+    "SELECT index_name AS index, count(DISTINCT host) AS x, 1 AS within, 1 AS stated FROM log_events GROUP BY 1")
 add("agg_values_mode", "index=log_events | stats values(level) AS v, mode(sourcetype) AS m BY index",
     "SELECT index_name AS index, coalesce(array_to_string(list_sort(list(DISTINCT level) FILTER (level IS NOT NULL)), '|'), '') AS v, (SELECT x.sourcetype FROM log_events x WHERE x.index_name = y.index_name AND x.sourcetype IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, x.sourcetype LIMIT 1) AS m FROM log_events y GROUP BY index_name")
 add("agg_list", E + "stats list(event_id) AS l BY user_id", "SELECT user_id, array_to_string(list(event_id ORDER BY ts DESC, event_id DESC)[1:100], '|') AS l FROM events WHERE user_id IS NOT NULL GROUP BY 1")
@@ -190,7 +199,8 @@ add("agg_first_after_sort", E + "sort 0 -value, event_id | stats first(event_id)
 add("agg_chronological", E + "sort 0 value | stats earliest(event_id) AS e, latest(event_id) AS l, earliest_time(value) AS et, latest_time(value) AS lt, rate(event_id) AS r BY user_id",
     "SELECT user_id, arg_min(event_id, ts) AS e, arg_max(event_id, ts) AS l, round(epoch_us(min(ts)) / 1e6, 4) AS et, round(epoch_us(max(ts)) / 1e6, 4) AS lt, round((arg_max(event_id, ts) - arg_min(event_id, ts)) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 4) AS r FROM events GROUP BY 1")
 add("agg_sparkline", E + "stats sparkline(count, 1d) AS s BY event_type",
-    "WITH n AS (SELECT event_type, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS d, count(*) AS c FROM events GROUP BY 1, 2), r AS (SELECT event_type, min(d) AS lo, max(d) AS hi FROM n GROUP BY 1), g AS (SELECT event_type, unnest(range(lo, hi + 1)) AS d FROM r) SELECT event_type, '##__SPARKLINE__##|' || string_agg(CAST(coalesce(c, 0) AS VARCHAR), '|' ORDER BY g.d) AS s FROM g LEFT JOIN n USING (event_type, d) GROUP BY 1")
+    "WITH n AS (SELECT event_type, CAST(floor(epoch_us(ts) / 86400e6) AS BIGINT) AS d, count(*) AS c FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-02-03' GROUP BY 1, 2), g AS (SELECT event_type, d FROM (SELECT DISTINCT event_type FROM n), (SELECT unnest(range(19732, 19756)) AS d)) SELECT event_type, '##__SPARKLINE__##|' || string_agg(CAST(coalesce(c, 0) AS VARCHAR), '|' ORDER BY d) AS s FROM g LEFT JOIN n USING (event_type, d) GROUP BY 1",
+    "2024-01-10T00:00:00Z", "2024-02-03T00:00:00Z")
 add("agg_eval_argument", "index=lineitem | stats sum(eval(l_extendedprice*(1-l_discount))) AS revenue, avg(eval(if(l_quantity>25, l_tax, null))) AS t BY l_returnflag, l_linestatus",
     "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, round(avg(CASE WHEN l_quantity > 25 THEN l_tax END), 4) AS t FROM lineitem GROUP BY 1, 2")
 add("agg_wildcard", "index=lineitem | fields l_quantity, l_tax, l_returnflag | fields - _time | stats avg(l_*) AS *_mean BY l_returnflag", "SELECT l_returnflag, round(avg(l_quantity), 4) AS l_quantity_mean, round(avg(l_tax), 4) AS l_tax_mean FROM lineitem GROUP BY 1")
@@ -214,10 +224,13 @@ _IN = "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20'"
 add("cmd_timechart", "index=events event_type=error | timechart span=6h count", f"SELECT _time, coalesce(c, 0) AS count FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, count(*) AS c FROM events WHERE {_IN} AND event_type = 'error' GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_timechart_avg", E + "timechart span=6h avg(value) AS a", f"SELECT _time, a FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, round(avg(value), 4) AS a FROM events WHERE {_IN} GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_timechart_split", E + "timechart span=6h sum(value) BY event_type", "SELECT _time, " + ", ".join(f"{t} AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM {_GRID} LEFT JOIN (SELECT {_SLOT} AS _time, " + ", ".join(f"round(sum(value) FILTER (event_type = '{t}'), 4) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + f" FROM events WHERE {_IN} GROUP BY 1) USING (_time)", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
-add("cmd_timechart_other", "index=log_events | timechart span=12h count BY index")
+_TOP = "WITH top AS (SELECT index_name FROM log_events GROUP BY 1 ORDER BY count(*) DESC, index_name LIMIT 10), rows AS (SELECT *, CASE WHEN index_name IN (SELECT index_name FROM top) THEN index_name ELSE 'OTHER' END AS series FROM log_events)"
+add("cmd_timechart_other", "index=log_events | timechart span=12h count BY index",
+    _TOP + ", cells AS (SELECT CAST(floor(epoch_us(event_time) / 43200e6) * 43200000000 AS BIGINT) AS _time, series, count(*) AS c FROM rows GROUP BY 1, 2), grid AS (SELECT unnest(range((SELECT min(_time) FROM cells), (SELECT max(_time) + 1 FROM cells), 43200000000)) AS _time), filled AS (SELECT g._time, s.series, coalesce(c, 0) AS c FROM grid g CROSS JOIN (SELECT DISTINCT series FROM cells) s LEFT JOIN cells ON cells._time = g._time AND cells.series = s.series) FROM (PIVOT filled ON series USING first(c) GROUP BY _time)")
 add("cmd_timechart_empty", "index=events event_type=nothing | timechart span=1h count", "SELECT 0::BIGINT AS _time, 0::BIGINT AS count WHERE false", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z")
 add("cmd_chart", "index=lineitem | chart avg(l_quantity) OVER l_returnflag BY l_linestatus", "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 4) AS \"F\", round(avg(l_quantity) FILTER (l_linestatus = 'O'), 4) AS \"O\" FROM lineitem GROUP BY 1")
-add("cmd_chart_other", "index=log_events | eval s=severity | chart count BY s, index | eval all=1 | stats count".replace(" | eval all=1 | stats count", ""))
+add("cmd_chart_other", "index=log_events | eval s=severity | chart count BY s, index",
+    _TOP + ", cells AS (SELECT severity AS s, series, count(*) AS c FROM rows WHERE severity IS NOT NULL GROUP BY 1, 2), filled AS (SELECT r.s, x.series, coalesce(c, 0) AS c FROM (SELECT DISTINCT s FROM cells) r CROSS JOIN (SELECT DISTINCT series FROM cells) x LEFT JOIN cells ON cells.s = r.s AND cells.series = x.series) FROM (PIVOT filled ON series USING first(c) GROUP BY s)")
 add("cmd_chart_null", "index=log_events | where isnull(level) OR level=\"error\" | chart count OVER index BY level", "SELECT index_name AS index, count(*) FILTER (level = 'error') AS error, count(*) FILTER (level IS NULL) AS \"NULL\" FROM log_events WHERE level IS NULL OR level = 'error' GROUP BY 1")
 
 
@@ -251,13 +264,13 @@ def knowledge_selector(spark: SparkSession, d: str) -> DataFrame:
     return plain(s.search("index=log_events | stats count(tag) AS tagged, count AS n BY index", ordered=False, now=NOW))
 
 
-@register("SELECT s AS slot_start, s + 21600 AS slot_end, coalesce(n, 0) AS n, false AS is_partial FROM (SELECT unnest(range(1704844800, 1705708800, 21600)) AS s) LEFT JOIN (SELECT CAST(floor(epoch_us(ts) / 21600e6) * 21600 AS BIGINT) AS s, count(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) USING (s)")
+@register("SELECT s AS slot_start, s + 20000 AS slot_end, coalesce(n, 0) AS n, s < 1704844800 OR s + 20000 > 1705708800 AS is_partial FROM (SELECT unnest(range(1704840000, 1705708800, 20000)) AS s) LEFT JOIN (SELECT CAST(floor(epoch_us(ts) / 20000e6) * 20000 AS BIGINT) AS s, count(*) AS n FROM events WHERE event_type = 'error' AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1) USING (s)")
 def analysis_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Events per slot of a range."""
     return analysis.timeline(session(spark, d), "index=events event_type=error", "2024-01-10T00:00:00Z", "2024-01-20T00:00:00Z", slots=50, now=NOW)
 
 
-@register("SELECT * FROM (VALUES ('_raw', 'string'), ('_time', 'time'), ('event_id', 'number'), ('event_type', 'string'), ('index', 'string'), ('k', 'dynamic'), ('props', 'string'), ('ts', 'time'), ('user_id', 'number'), ('value', 'number')) t(field, kind), (SELECT count(*) AS n_events, count(*) AS n_present, 0 AS n_null FROM events)")
+@register("SELECT *, CASE WHEN kind = 'dynamic' THEN 'number' ELSE kind END AS types FROM (VALUES ('_raw', 'string'), ('_time', 'time'), ('event_id', 'number'), ('event_type', 'string'), ('index', 'string'), ('k', 'dynamic'), ('props', 'string'), ('ts', 'time'), ('user_id', 'number'), ('value', 'number')) t(field, kind), (SELECT count(*) AS n_events, count(*) AS n_present, 0 AS n_null, 0 AS n_missing FROM events)")
 def analysis_fields(spark: SparkSession, d: str) -> DataFrame:
     """The fields of a result with their kinds and counts."""
     return analysis.field_catalog(session(spark, d), "index=events", now=NOW)
@@ -355,6 +368,44 @@ def source_generator(spark: SparkSession, d: str) -> DataFrame:
     return readers.generate_events(spark, table(spark, d, "events").count(), shape="nested").groupBy(F.get_json_object("_raw", "$.outcome.level").alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("SELECT index_name AS index, count(*) AS n, count(DISTINCT raw) AS texts FROM log_events WHERE raw_encoding = 1 AND raw <> '' GROUP BY 1")
+def source_event_store(spark: SparkSession, d: str) -> DataFrame:
+    """Decoded events appended to a store twice under one token, one index deleted again by a rewrite and put back."""
+    rows = table(spark, d, "log_events").where("raw_encoding = 1 and raw <> ''").select(F.col("index_name").alias("index"), "tenant_id", "raw", F.col("event_time").cast("timestamp").alias("_time"))
+    at = scratch(spark, "store")
+    store = sinks.EventStore(spark, at + "/first")
+    for _ in range(2):
+        store.append(rows, "batch-1")
+    left = store.delete_index("main", at + "/second")
+    left.append(rows.where("index = 'main'"), "batch-2")
+    return left.read().groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw").alias("texts"))
+
+
+@register("SELECT host, environment, coalesce(owner_team, '') AS owner_team, coalesce(rack, '') AS rack FROM host_assets")
+def source_lookup_file(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup table written as a CSV export and read back as a lookup file."""
+    at = scratch(spark, "lookup")
+    table(spark, d, "host_assets").select("host", "environment", "owner_team", "rack").fillna("").coalesce(1).write.mode("overwrite").csv(at, header=True, quote='"', escape='"', emptyValue="")
+    return readers.read_lookup_csv(spark, at)
+
+
+@register("SELECT regexp_replace(line, chr(13) || '$', '') AS raw, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_replace(line, chr(13) || '$', '') <> '' GROUP BY 1")
+def source_raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The documents written as files of lines and read as one event per line."""
+    at = scratch(spark, "lines")
+    table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")).where("value is not null").write.mode("overwrite").text(at)
+    return readers.read_raw_lines(spark, at).groupBy(F.col("_raw").alias("raw")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT tenant_id, count(DISTINCT event_id) AS n FROM log_events GROUP BY 1")
+def stream_once(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries tailed as a stream, redeliveries dropped, the result written exactly once and read back."""
+    at, source = scratch(spark, "stream"), f"{d}/log_event[s].parquet"  # a pattern may name a file as well as a folder
+    kept = ingest.once_within(ingest.tail_table(spark, source, table(spark, d, "log_events").schema).select("tenant_id", "event_id", F.col("index_time").cast("timestamp").alias("index_time")), ["tenant_id", "event_id"], "index_time", "30 days")
+    kept.writeStream.format("parquet").option("path", at + "/out").option("checkpointLocation", at + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(at + "/out").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("SELECT CAST(visibility_seq AS VARCHAR) AS visibility_seq, coalesce(CASE WHEN regexp_matches(raw, '^[=+@\t\r\n''-]') THEN '''' || raw ELSE raw END, '') AS raw, coalesce(service, '') AS service FROM log_events")
 def sink_csv_cells(spark: SparkSession, d: str) -> DataFrame:
     """Rows as the cells of a CSV export."""

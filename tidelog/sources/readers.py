@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.common import PRIVATE, div, ident
-from tidelog.functions.values import NUMBER
+from tidelog.functions.values import NUMBER, parsed_whole
 from tidelog.operators.log_lines import LEVELS
 from tidelog.plans.errors import DataError
 
@@ -32,9 +32,6 @@ REDACTED = "[REDACTED]"
 ENVELOPE_DEFAULTS = {"host": "hec", "source": "http:hec", "sourcetype": "httpevent"}
 
 
-_END = PRIVATE + "end"
-
-
 def event_time(text: Column) -> Column:
     """A time written as RFC 3339, or as epoch seconds, milli-, micro- or nanoseconds by size; null if it is neither."""
     n = F.when(text.rlike(NUMBER), text.try_cast("decimal(30,9)"))
@@ -44,12 +41,6 @@ def event_time(text: Column) -> Column:
     return F.coalesce(F.when(n.isNotNull(), number), iso)
 
 
-def parsed_whole(text: Column) -> Column:
-    """A JSON text as a variant; null if it is none or has anything behind its value, which the parser by itself lets pass."""
-    both = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(f',"{_END}":1}}')))
-    return F.when(F.variant_get(both, f"$.{_END}", "int") == 1, F.variant_get(both, "$.v", "variant"))
-
-
 def severity_rank(level: Column) -> Column:
     """0 for unknown, 1 trace to 6 fatal."""
     rank = F.lit(0)
