@@ -50,58 +50,72 @@ _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 
 @dataclass(frozen=True)
 class Layout:
-    """One step of the cascade: ``head`` says, with ``has`` found anywhere, whether a record has this layout; the
-    other patterns have one group each. ``stamp`` names the kind of timestamp: iso, epoch_s, epoch_ms, month_day, klog or clock12."""
+    """One step of the cascade: ``head`` says, with ``has`` found anywhere, whether a record has this layout. ``fields``
+    is one pattern for a whole record with the named groups time, level, component and message, those behind the first
+    optional, so that a record cut off gives what it still has; for records whose fields come in any order, it is a
+    pattern with one group for each. ``stamp`` names the kind of timestamp."""
 
     name: str
     head: str
-    stamp: str
-    time: str
-    level: str | None
-    component: str
-    message: str
+    stamp: str  # iso, iso_or_epoch_s, epoch_ms, month_day, klog, clock12 or access
+    fields: str | dict[str, str]
     has: str = ""
     level_kind: str = "word"  # word, pino (tens), otel (1..24) or syslog (priority)
 
 
+FIELDS = ("time", "level", "component", "message")
 _ISO = r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:[.,]\d+)?(?:Z|[+-]\d\d:?\d\d)?"
-_KEY = r'(?<!\\)"{}"\s*:\s*'
+_ESC = r"(?:\x1b\[[0-9;]*m)"
 _STR = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)'  # possessive: a long text costs neither stack nor backtracking
+_REST = r"(?<message>[\s\S]*+)"
+_TAIL = r"[\s\S]*+$"
+_SD = r'(?:-|(?:\[(?:[^\]"\\]|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\])+)'  # structured data of a syslog record
+
+
+def _key(*names: str) -> str:
+    """A member of a JSON object up to its value. The name comes first, as a literal where there is but one, which is
+    searched for quickly; a name inside a text, where its quotes are escaped, doesn't count."""
+    name = '"' + (names[0] if len(names) == 1 else f"(?:{'|'.join(names)})") + '"'
+    return rf"{name}(?<!\\{name})\s*:\s*"
+
 
 #: The cascade. Order matters: a later, more general pattern sees only what the earlier ones left.
 CASCADE = (
-    Layout("json_otel", r"^\s*\{", "iso", _KEY.format("timestamp") + r'"([^"]+)"', _KEY.format("severity_number") + r"(\d+)", r'"scope"\s*:\s*\{\s*"name"\s*:\s*' + _STR + '"', _KEY.format("body") + _STR, r'"(?:severity_text|severity_number|body)"\s*:', "otel"),
-    Layout("json_pino", r"^\s*\{", "epoch_ms", _KEY.format("time") + r"(\d+)", _KEY.format("level") + r"(\d+)", _KEY.format("name") + _STR + '"', _KEY.format("msg") + _STR, r'"level"\s*:\s*\d', "pino"),
-    Layout("json_zap", r"^\s*\{\s*\"", "iso_or_epoch_s", _KEY.format("(?:ts|time|timestamp|t)") + r'"?([0-9][^",}\s]*(?: [0-9:.,]+)?)', _KEY.format("(?:level|severity|lvl)") + r'"([^"]+)"', _KEY.format("(?:logger|component|name)") + _STR + '"', _KEY.format("(?:msg|message)") + _STR),
-    Layout("syslog_ietf", r"^<\d{1,3}>\d+ ", "iso", r"^<\d+>\d+ (\S+) ", r"^<(\d+)>", r"^<\d+>\d+ \S+ \S+ (\S+) ", r'^<\d+>\d+ \S+ \S+ \S+ \S+ \S+ (?:-|(?:\[(?:[^\]"\\]|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+\])+) ?([\s\S]*)', level_kind="syslog"),
-    Layout("syslog_bsd", r"^<\d{1,3}>[A-Z][a-z]{2} +\d+ ", "month_day", r"^<\d+>([A-Z][a-z]{2} +\d+ \d\d:\d\d:\d\d) ", r"^<(\d+)>", r"^<\d+>[A-Z][a-z]{2} +\d+ \S+ \S+ ([^\s:\[]+)", r"^<\d+>[A-Z][a-z]{2} +\d+ \S+ \S+ [^\s:]+: ?([\s\S]*)", level_kind="syslog"),
-    Layout("klog", r"^[IWEFD]\d{4} \d\d:\d\d:\d\d", "klog", r"^[A-Z](\d{4} \d\d:\d\d:\d\d)", r"^([A-Z])", r"^\S+ \S+ +\d+ ([^\s:\]]+):\d+\]", r"^[^\]]*\] ?([\s\S]*)"),
-    Layout("clock12", r"^[A-Z][a-z]{2} \d\d, \d{4} \d{1,2}:\d\d:\d\d [AP]M ", "clock12", r"^([A-Z][a-z]{2} \d\d, \d{4} \d{1,2}:\d\d:\d\d [AP]M) ", r"^[^\r\n]*\r?\n([A-Z]+):", r"^\S+ \S+ \S+ \S+ [AP]M (\S+)", r"^[^\r\n]*\r?\n[A-Z]+: ?([\s\S]*)"),
-    Layout("bracket", r"^\[" + _ISO + r"\]\[", "iso", r"^\[([^\]]+)\]", r"^\[[^\]]+\]\[([^\]]+)\]", r"^\[[^\]]+\]\[[^\]]+\]\[([^\]]+)\]", r"^(?:\[[^\]]+\]){3} ?([\s\S]*)"),
-    Layout("dashed", r"^" + _ISO + r" - \S+ - [A-Z]+ - ", "iso", r"^(" + _ISO + ")", r"^\S+ \S+ - \S+ - ([A-Z]+) - ", r"^\S+ \S+ - (\S+) - ", r"^\S+ \S+ - \S+ - [A-Z]+ - ([\s\S]*)"),
-    Layout("thread_after", r"^" + _ISO + r" [A-Z]+ +\[[^\]]*\] \S+ - ", "iso", r"^(" + _ISO + ")", r"^\S+ \S+ ([A-Z]+)", r"^\S+ \S+ [A-Z]+ +\[[^\]]*\] (\S+) - ", r"^\S+ \S+ [A-Z]+ +\[[^\]]*\] \S+ - ([\s\S]*)"),
-    Layout("thread_before", r"^" + _ISO + r" \[[^\]]*\] [A-Z]+ +\S+: ", "iso", r"^(" + _ISO + ")", r"^\S+ \S+ \[[^\]]*\] ([A-Z]+)", r"^\S+ \S+ \[[^\]]*\] [A-Z]+ +(\S+): ", r"^\S+ \S+ \[[^\]]*\] [A-Z]+ +\S+: ([\s\S]*)"),
-    Layout("module_path", r"^" + _ISO + r" +(?:\x1b\[[0-9;]*m)? *[A-Z]+(?:\x1b\[[0-9;]*m)? +\S+: ", "iso", r"^(" + _ISO + ")", r"^\S+ +(?:\x1b\[[0-9;]*m)? *([A-Z]+)", r"^\S+ +(?:\x1b\[[0-9;]*m)? *[A-Z]+(?:\x1b\[[0-9;]*m)? +(?:\x1b\[[0-9;]*m)*([^\s\x1b]+?)(?:\x1b\[[0-9;]*m)*:(?:\x1b\[[0-9;]*m)* ", r"^\S+ +(?:\x1b\[[0-9;]*m)? *[A-Z]+(?:\x1b\[[0-9;]*m)? +\S+: ([\s\S]*)"),
-    Layout("level_first", r"^[A-Z]+:[^\s:]+:" + _ISO, "iso", r"^[A-Z]+:[^\s:]+:(" + _ISO + ")", r"^([A-Z]+):", r"^[A-Z]+:([^\s:]+):", r"^[A-Z]+:[^\s:]+:" + _ISO + r": ?([\s\S]*)"),
-    Layout("pairs", r"^[a-z_]+=", "iso", r'(?:^| )(?:ts|time|t)="?(' + _ISO + ")", r'(?:^| )(?:level|lvl|severity)="?(\w+)', r'(?:^| )(?:component|logger)="?([^\s"]+)', r'(?:^| )msg="([^"\\]*+(?:\\.[^"\\]*+)*+)', r"(?:^| )(?:level|lvl|severity)="),
-    Layout("access", r"^\S+ \S+ \S+ \[\d\d/[A-Z][a-z]{2}/\d{4}:", "access", r"\[(\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})\]", None, r"(?!)", _STR + '"'),
+    Layout("json_otel", r"^\s*\{", "iso", {"time": _key("timestamp") + r'"([^"]+)"', "level": _key("severity_number") + r"(\d+)", "component": _key("scope") + r'\{\s*"name"\s*:\s*' + _STR + '"', "message": _key("body") + _STR}, r'"(?:severity_text|severity_number|body)"\s*:', "otel"),
+    Layout("json_pino", r"^\s*\{", "epoch_ms", {"time": _key("time") + r"(\d+)", "level": _key("level") + r"(\d+)", "component": _key("name") + _STR + '"', "message": _key("msg") + _STR}, r'"level"\s*:\s*\d', "pino"),
+    Layout("json_zap", r"^\s*\{\s*\"", "iso_or_epoch_s", {"time": _key("ts", "time", "timestamp", "t") + r'"?([0-9][^",}\s]*(?: [0-9:.,]+)?)', "level": _key("level", "severity", "lvl") + r'"([^"]+)"', "component": _key("logger", "component", "name") + _STR + '"', "message": _key("msg", "message") + _STR}),
+    Layout("syslog_ietf", r"^<\d{1,3}>\d+ ", "iso", rf"^<(?<level>\d+)>\d+ (?:(?<time>\S+) (?:\S+ (?:(?<component>\S+) (?:\S+ \S+ {_SD} ?{_REST})?)?)?)?{_TAIL}", level_kind="syslog"),
+    Layout("syslog_bsd", r"^<\d{1,3}>[A-Z][a-z]{2} +\d+ ", "month_day", rf"^<(?<level>\d+)>(?:(?<time>[A-Z][a-z]{{2}} +\d+ \d\d:\d\d:\d\d) (?:\S+ (?:(?<component>[^\s:\[]+)(?:[^\s:]*: ?{_REST})?)?)?)?{_TAIL}", level_kind="syslog"),
+    Layout("klog", r"^[IWEFD]\d{4} \d\d:\d\d:\d\d", "klog", rf"^(?<level>[A-Z])(?<time>\d{{4}} \d\d:\d\d:\d\d)(?:\S* +\d+ (?<component>[^\s:\]]+):\d+(?=\]))?(?:[^\]]*+\] ?{_REST})?{_TAIL}"),
+    Layout("clock12", r"^[A-Z][a-z]{2} \d\d, \d{4} \d{1,2}:\d\d:\d\d [AP]M ", "clock12", rf"^(?<time>[A-Z][a-z]{{2}} \d\d, \d{{4}} \d{{1,2}}:\d\d:\d\d [AP]M) (?<component>\S+)?[^\r\n]*+(?:\r?\n(?<level>[A-Z]+): ?{_REST})?{_TAIL}"),
+    Layout("bracket", r"^\[" + _ISO + r"\]\[", "iso", rf"^\[(?<time>{_ISO})\]\[(?:(?<level>[^\]]+)\](?:\[(?<component>[^\]]+)\] ?{_REST})?)?{_TAIL}"),
+    Layout("dashed", r"^" + _ISO + r" - \S+ - [A-Z]+ - ", "iso", rf"^(?<time>{_ISO}) - (?<component>\S+) - (?<level>[A-Z]+) - {_REST}$"),
+    Layout("thread_after", r"^" + _ISO + r" [A-Z]+ +\[[^\]]*\] \S+ - ", "iso", rf"^(?<time>{_ISO}) (?<level>[A-Z]+) +\[[^\]]*\] (?<component>\S+) - {_REST}$"),
+    Layout("thread_before", r"^" + _ISO + r" \[[^\]]*\] [A-Z]+ +\S+: ", "iso", rf"^(?<time>{_ISO}) \[[^\]]*\] (?<level>[A-Z]+) +(?<component>\S+): {_REST}$"),
+    Layout("module_path", rf"^{_ISO} +{_ESC}? *[A-Z]+{_ESC}? +\S+: ", "iso", rf"^(?<time>{_ISO}) +{_ESC}? *(?<level>[A-Z]+){_ESC}? +(?:{_ESC}*(?<component>[^\s\x1b]+?){_ESC}*:{_ESC}* {_REST})?{_TAIL}"),
+    Layout("level_first", r"^[A-Z]+:[^\s:]+:" + _ISO, "iso", rf"^(?<level>[A-Z]+):(?<component>[^\s:]+):(?<time>{_ISO})(?:: ?{_REST})?{_TAIL}"),
+    Layout("pairs", r"^[a-z_]+=", "iso", {"time": r'(?:^| )(?:ts|time|t)="?(' + _ISO + ")", "level": r'(?:^| )(?:level|lvl|severity)="?(\w+)', "component": r'(?:^| )(?:component|logger)="?([^\s"]+)', "message": r'(?:^| )msg="([^"\\]*+(?:\\.[^"\\]*+)*+)'}, r"(?:^| )(?:level|lvl|severity)="),
+    Layout("access", r"^\S+ \S+ \S+ \[\d\d/[A-Z][a-z]{2}/\d{4}:", "access", {"time": r"\[(\d\d/[A-Z][a-z]{2}/\d{4}:\d\d:\d\d:\d\d [+-]\d{4})\]", "message": _STR + '"'}),
 )
+_PART = "\x1f"  # between the fields that a pattern for a whole record gives
 
 
-def _g(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def _fields(layout: Layout, head: Column, rec: Column) -> Column:
+    """The layout's fields of a record in the order of ``FIELDS``; "" for one that it doesn't have."""
+    if isinstance(layout.fields, str):
+        groups = _PART.join(f"${{{f}}}" if f"(?<{f}>" in layout.fields else "" for f in FIELDS)
+        return F.split(F.regexp_replace(rec, layout.fields, groups), _PART, len(FIELDS))
+    return F.array(*[F.regexp_extract(rec if f == "message" else head, layout.fields[f], 1) if f in layout.fields else F.lit("") for f in FIELDS])
 
 
-def _utc(text: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(fmt))
+def _utc(text: Column) -> Column:
+    return F.unix_micros(text.try_cast("timestamp"))
 
 
 def _iso_us(stamp: Column) -> Column:
     """Microseconds of an ISO date and time; without offset it is UTC, the fraction may follow a point or a comma."""
-    base = F.concat(F.substring(stamp, 1, 10), F.lit(" "), F.substring(stamp, 12, 8))
-    off = F.regexp_replace(F.regexp_extract(stamp, r"([+-]\d\d:?\d\d)$", 1), ":", "")
-    frac = F.rpad(F.regexp_extract(stamp, r"^.{19}[.,](\d{1,6})", 1), 6, "0")
-    return F.unix_micros(_utc(F.concat(base, F.when(off == "", F.lit("+0000")).otherwise(off)), "yyyy-MM-dd HH:mm:ssxx")) + frac.cast("long")
+    zone = F.substring(stamp, -6, 1).isin("+", "-") | F.substring(stamp, -5, 1).isin("+", "-") | F.endswith(stamp, F.lit("Z"))
+    return F.when(F.length(stamp) >= 19, _utc(F.concat(F.translate(stamp, ",", "."), F.when(zone, F.lit("")).otherwise(F.lit("Z")))))
 
 
 def _month_number(name: Column) -> Column:
@@ -112,7 +126,7 @@ def _nearest_year_us(month: Column, day: Column, clock: Column, near_us: Column)
     """The year that brings a date without one nearest to another time; the 29th of February only in years that have it."""
     year = F.year(F.timestamp_micros(near_us))
     tries = [
-        F.unix_micros(_utc(F.concat((year + d).cast("string"), F.lit("-"), month, F.lit("-"), F.lpad(F.trim(day), 2, "0"), F.lit(" "), clock, F.lit("+0000")), "yyyy-MM-dd HH:mm:ssxx"))
+        _utc(F.concat((year + d).cast("string"), F.lit("-"), month, F.lit("-"), F.lpad(F.trim(day), 2, "0"), F.lit(" "), clock, F.lit("Z")))
         for d in (0, -1, 1)
     ]
     best = F.array_min(F.filter(F.array(*[F.struct(F.abs(t - near_us).alias("off"), t.alias("us")) for t in tries]), lambda s: s["us"].isNotNull()))
@@ -132,9 +146,9 @@ def _stamp_us(kind: str, stamp: Column, near_us: Column) -> Column:
         return _nearest_year_us(F.substring(stamp, 1, 2), F.substring(stamp, 3, 2), F.substring(stamp, 6, 8), near_us)
     if kind == "clock12":
         hour = F.regexp_extract(stamp, r" (\d{1,2}):", 1).try_cast("int") % 12 + F.when(stamp.endswith("PM"), 12).otherwise(0)
-        return F.unix_micros(_utc(F.concat(F.substring(stamp, 9, 4), F.lit("-"), _month_number(F.substring(stamp, 1, 3)), F.lit("-"), F.substring(stamp, 5, 2), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.regexp_extract(stamp, r"(:\d\d:\d\d) ", 1), F.lit("+0000")), "yyyy-MM-dd HH:mm:ssxx"))
+        return _utc(F.concat(F.substring(stamp, 9, 4), F.lit("-"), _month_number(F.substring(stamp, 1, 3)), F.lit("-"), F.substring(stamp, 5, 2), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.regexp_extract(stamp, r"(:\d\d:\d\d) ", 1), F.lit("Z")))
     if kind == "access":
-        return F.unix_micros(_utc(F.concat(F.substring(stamp, 8, 4), F.lit("-"), _month_number(F.substring(stamp, 4, 3)), F.lit("-"), F.substring(stamp, 1, 2), F.lit(" "), F.substring(stamp, 13, 8), F.substring(stamp, 22, 5)), "yyyy-MM-dd HH:mm:ssxx"))
+        return _utc(F.concat(F.substring(stamp, 8, 4), F.lit("-"), _month_number(F.substring(stamp, 4, 3)), F.lit("-"), F.substring(stamp, 1, 2), F.lit(" "), F.substring(stamp, 13, 8), F.substring(stamp, 22, 5)))
     raise ValueError(kind)
 
 
@@ -165,14 +179,6 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _by_layout(lay: Column, f) -> Column:
-    choice = F.lit(None).cast("string")
-    for i, layout in reversed([*enumerate(CASCADE)]):
-        if (value := f(layout)) is not None:
-            choice = F.when(lay == i, value).otherwise(choice)
-    return choice
-
-
 def parse_records(df: DataFrame, record: str, near_us: str, entry: str = "entry") -> DataFrame:
     """``df`` with a struct of ``layout, entry_us, level_rank, level, component, message, n_lines`` for each
     record's text in the column ``record``.
@@ -189,25 +195,26 @@ def parse_records(df: DataFrame, record: str, near_us: str, entry: str = "entry"
             fits = fits & (_unquoted(rec) if layout.name == "pairs" else rec).rlike(layout.has)
         number = F.when(fits, F.lit(i)).otherwise(number)
     df = _once(df, PRIVATE + "lay", number)
-    pairs = [i for i, layout in enumerate(CASCADE) if layout.name == "pairs"]
-    df = _once(df, PRIVATE + "head", F.when(lay.isin(pairs), _unquoted(rec)).otherwise(rec))
-    df = _once(df, PRIVATE + "got", F.struct(
-        _by_layout(lay, lambda x: _g(head, x.time)).alias("time"), _by_layout(lay, lambda x: x.level and _g(head, x.level)).alias("level"),
-        _by_layout(lay, lambda x: _g(head, x.component)).alias("component"),
-        F.when(lay.isNull(), rec).otherwise(_by_layout(lay, lambda x: F.regexp_extract(rec, x.message, 1))).alias("message"),
-        F.when(lay.isin([i for i, x in enumerate(CASCADE) if x.level_kind == "otel"]), _g(rec, _KEY.format("severity_text") + r'"([^"]+)"')).alias("text_level"),
-    ))
-    us, rank = F.lit(None).cast("long"), _word_rank(got["level"])
+    of = lambda test: lay.isin([i for i, x in enumerate(CASCADE) if test(x)])
+    df = _once(df, PRIVATE + "head", F.when(of(lambda x: x.name == "pairs"), _unquoted(rec)).otherwise(rec))
+    parts = F.lit(None).cast("array<string>")
+    for i, layout in reversed([*enumerate(CASCADE)]):
+        parts = F.when(lay == i, _fields(layout, head, rec)).otherwise(parts)
+    df = _once(df, PRIVATE + "got", parts)
+    time, level, component = (F.nullif(F.get(got, F.lit(i)), F.lit("")) for i in range(3))
+    us, rank = F.lit(None).cast("long"), _word_rank(level)
     for kind in dict.fromkeys(x.stamp for x in CASCADE):
-        us = F.when(lay.isin([i for i, x in enumerate(CASCADE) if x.stamp == kind]), _stamp_us(kind, got["time"], ident(near_us))).otherwise(us)
+        us = F.when(of(lambda x, kind=kind: x.stamp == kind), _stamp_us(kind, time, ident(near_us))).otherwise(us)
     for kind in ("syslog", "pino", "otel"):
-        n = _number_rank(kind, got["level"].try_cast("int"))
-        rank = F.when(lay.isin([i for i, x in enumerate(CASCADE) if x.level_kind == kind]), F.coalesce(n, _word_rank(got["text_level"]))).otherwise(rank)
+        n = _number_rank(kind, level.try_cast("int"))
+        if kind == "otel":  # the name of the level where there is no number
+            n = F.coalesce(n, _word_rank(F.nullif(F.regexp_extract(rec, _key("severity_text") + r'"([^"]+)"', 1), F.lit(""))))
+        rank = F.when(of(lambda x, kind=kind: x.level_kind == kind), n).otherwise(rank)
     df = _once(df, PRIVATE + "at", F.struct(us.alias("us"), rank.alias("rank")))
     us, rank = F.col(PRIVATE + "at")["us"], F.col(PRIVATE + "at")["rank"]
     value = F.struct(
         F.when(rec.isNotNull(), F.coalesce(F.get(F.array(*[F.lit(x.name) for x in CASCADE]), lay), F.lit("plain"))).alias("layout"), us.alias("entry_us"), rank.alias("level_rank"),
-        F.get(F.array(*[F.lit(x) for x in LEVEL_NAMES]), rank - 1).alias("level"), got["component"].alias("component"), got["message"].alias("message"),
+        F.get(F.array(*[F.lit(x) for x in LEVEL_NAMES]), rank - 1).alias("level"), component.alias("component"), F.when(lay.isNull(), rec).otherwise(F.get(got, F.lit(3))).alias("message"),
         (F.length(rec) - F.length(F.replace(rec, F.lit("\n"))) + 1).alias("n_lines"),
     )
     return df.withColumn(entry, value).drop(PRIVATE + "lay", PRIVATE + "head", PRIVATE + "got", PRIVATE + "at")
