@@ -251,3 +251,48 @@ def test_sorted_events_are_numbered_in_ranges(s):
     plan = s.explain("index=e | sort 0 n | accum id AS t | delta n AS d | streamstats window=2 sum(n) AS w")
     assert "Exchange SinglePartition" not in plan.replace("BroadcastExchange", "")
     assert values(s, "index=e | sort 0 n, -id | accum id AS t | delta id AS d | streamstats count AS c | table id t d c", "id", "t", "d", "c") == [(3, 3.0, None, 1), (1, 4.0, -2.0, 2), (5, 9.0, 4.0, 3), (4, 13.0, -1.0, 4), (2, 15.0, -2.0, 5)]
+
+
+def test_pages_of_kept_results(s, tmp_path):
+    from tidelog.plans.paging import Retained
+
+    kept = Retained.keep(s, str(tmp_path / "r"), b"secret", "index=e | sort 0 n, -id", now=1_704_100_000.0)
+    seen, cursor = [], None
+    for _ in range(4):
+        rows, cursor = kept.page(2, cursor)
+        seen.append([r["id"] for r in rows.collect()])
+    assert seen == [[3, 1], [5, 4], [2], []] and kept.columns[:2] == ["id", "at"]
+    for bad in ("", "x", cursor[:-4] + "AAAA", Retained(s.spark, str(tmp_path / "r"), b"other").cursor(2)):
+        with pytest.raises(DataError):
+            kept.page(2, bad)
+    with pytest.raises(DataError):
+        kept.page(0)
+
+
+def test_ceilings_are_an_option(spark, s, monkeypatch):
+    from tidelog.operators import grouping, multivalue
+
+    strict = Session(spark, s.catalog, default_index="e", ceilings=True)
+    monkeypatch.setattr(grouping, "DISTINCT", 3)
+    monkeypatch.setattr(grouping, "LIST_BYTES", 10)
+    monkeypatch.setattr(multivalue, "EXPANDED", 4)
+    for q in ("stats dc(id) AS d", "stats values(raw) AS v", "stats list(raw) AS l", 'makemv delim="," tags | mvexpand tags'):
+        with pytest.raises(Exception, match="more than"):
+            strict.search(f"index=e | {q}", now=1_704_100_000.0).collect()
+        assert s.search(f"index=e | {q}", now=1_704_100_000.0).collect()
+    assert strict.search("index=e | stats dc(host) AS d, values(host) AS v", now=1_704_100_000.0).collect()[0]["d"] == 2
+
+
+def test_json_extraction_of_containers(s):
+    for strict in (False, True):
+        k = Session(s.spark, s.catalog, default_index="e")
+        k.add_knowledge(Knowledge("json", "a", {"path": "a", "output": "a", "strict": strict}))
+        df = s.spark.createDataFrame([(1, T0, '{"a":{"b":1}}'), (2, T0, '{"a":5}'), (3, T0, "no")], "id long, at timestamp, raw string")
+        c = Catalog()
+        c.add(Binding("e", lambda _, df=df: df, time="at", keys=("id",), raw="raw"))
+        k.catalog = c
+        if strict:
+            with pytest.raises(Exception, match="object or an array"):
+                k.search("index=e | table a").collect()
+        else:
+            assert sorted(values(k, "index=e | table a", "a"), key=repr) == ["5", None, None]

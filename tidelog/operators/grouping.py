@@ -24,6 +24,8 @@ from tidelog.plans.relation import KEY, TIME, Relation
 
 #: Entries of ``list``, of ``values``, and points of a sparkline.
 LIST_ENTRIES, VALUES_ENTRIES, POINTS = 100, 10_000, 100
+#: Fixed values of a session with ceilings: values that ``dc`` counts, and bytes of a list's texts.
+DISTINCT, LIST_BYTES = 100_000, 512 * 1024
 PERCENTILE_ACCURACY = 10_000
 #: The error that is stated for an estimated distinct count, and from which count on.
 ESTDC_FROM, ESTDC_ERROR = 1000, 0.002872621298570349
@@ -90,7 +92,8 @@ class _Builder:
             return self.agg(F.count(F.col(self.input(v.col))))
         text = self.input(v.txt) if f in ("dc", "estdc", "estdc_error") else None
         if f == "dc":
-            return self.agg(F.count_distinct(F.col(text)))
+            n = self.agg(F.count_distinct(F.col(text)))
+            return F.when(n > DISTINCT, F.raise_error(F.lit(f"dc counts more than {DISTINCT} values"))).otherwise(n) if self.rel.ctx.ceilings else n
         if f in ("estdc", "estdc_error"):
             n = self.agg(F.expr(f"hll_sketch_estimate(hll_sketch_agg(`{text}`, 17))"))
             n = F.coalesce(n, F.lit(0))
@@ -257,6 +260,9 @@ def aggregate(rel: Relation, measures: Sequence[Measure], groups: Sequence[str],
                 c = F.get(c, F.lit(0))
             elif m.func == "values":
                 c = F.coalesce(c, F.array().cast("array<string>"))
+            if m.func in ("values", "list") and rel.ctx.ceilings:
+                size = F.aggregate(c.cast("array<string>"), F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)))
+                c = F.when(size > LIST_BYTES, F.raise_error(F.lit(f"{m.func} has more than {LIST_BYTES} bytes"))).otherwise(c)
             cols.append(c.alias(m.alias))
         else:
             cols.append(outs[m.alias].alias(m.alias))

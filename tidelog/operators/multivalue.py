@@ -7,14 +7,14 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE
+from tidelog.common import PRIVATE, rows_at_most
 from tidelog.functions.values import parsed_whole
-from tidelog.plans.errors import SearchError
+from tidelog.plans.errors import DataError, SearchError
 from tidelog.plans.nodes import Command
 from tidelog.plans.relation import Order, Relation
 
-#: Fixed value: members of one list.
-MEMBERS = 1000
+#: Members of one list; rows of one expansion in a session with ceilings.
+MEMBERS, EXPANDED = 1000, 10_000
 
 
 def _capped(items: Column) -> Column:
@@ -41,11 +41,13 @@ def mvexpand(rel: Relation, c: Command) -> Relation:
     items = F.when(v.col.isNull(), F.array(F.lit(None).cast("string"))).otherwise(items)
     names = [n for n in rel.df.columns if n != c["field"]]
     df = rel.df.select(*[F.col(f"`{n}`") for n in names], F.posexplode(items).alias(made, c["field"]))
+    if rel.ctx.ceilings and not rows_at_most(df, EXPANDED):
+        raise DataError(f"mvexpand gives more than {EXPANDED} rows")
     order = [n for n in rel.df.columns] if c["field"] in rel.df.columns else [*names, c["field"]]
     return rel.with_(df=df.select(*[F.col(f"`{n}`") for n in order], made), order=(*rel.order, Order(made)), flat=rel.flat - {c["field"]})
 
 
-def _leaf(found: Column) -> Column:
+def leaf(found: Column) -> Column:
     """A scalar of a JSON document as text, an explicit null as null. Objects and arrays fail the search."""
     inner = F.schema_of_variant(found).rlike("^(OBJECT|ARRAY)")
     return F.when(inner, F.raise_error(F.lit("spath reaches an object or an array"))).otherwise(found.cast("string"))
@@ -63,7 +65,7 @@ def spath(rel: Relation, c: Command) -> Relation:
     old, document = rel.field(c["output"]), parsed_whole(text)
     if "{}" not in path:
         found = F.try_variant_get(document, "$" + "".join(f"['{name}']" if name else f"[{index}]" for name, index in steps), "variant")
-        return rel.set({c["output"]: F.when(found.isNotNull(), _leaf(found)).otherwise(F.lit(None).cast("string") if old.kind == "null" else old.txt)})
+        return rel.set({c["output"]: F.when(found.isNotNull(), leaf(found)).otherwise(F.lit(None).cast("string") if old.kind == "null" else old.txt)})
     items, run = F.array(document), ""
 
     def down(kind: str) -> Column:
@@ -80,7 +82,7 @@ def spath(rel: Relation, c: Command) -> Relation:
     before = old.col if old.kind == "mv" else F.lit(None).cast("array<string>")
     if old.kind not in ("mv", "null"):
         before = F.when(old.col.isNotNull(), F.raise_error(F.lit("spath can't put a list beside the output's single values"))).otherwise(before)
-    return rel.set({c["output"]: F.when(hit, F.transform(_capped(found), _leaf)).otherwise(before)})
+    return rel.set({c["output"]: F.when(hit, F.transform(_capped(found), leaf)).otherwise(before)})
 
 
 __all__ = ["PRIVATE", "makemv"]

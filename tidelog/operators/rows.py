@@ -110,10 +110,8 @@ def regex(rel: Relation, c: Command) -> Relation:
 def rex(rel: Relation, c: Command) -> Relation:
     """The first match's named groups; without a match the fields keep their values."""
     text, pattern = rel.field(c["field"]).txt, java_pattern(c["pattern"])
-    order = re.findall(r"\(\?<([A-Za-z_]\w*)>|\((?!\?)|\(\?(?!<)", re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", pattern))
     groups = [m for m in re.finditer(r"\\.|\[(?:\\.|[^\]\\])*\]|\(\?<([A-Za-z_]\w*)>|\((?!\?)", pattern) if not m[0].startswith(("\\", "["))]
     number = {m[1]: i + 1 for i, m in enumerate(groups) if m[1]}
-    del order
     # Java's named groups allow no underscore
     plain = re.sub(r"\(\?<[A-Za-z_]\w*>", "(", pattern)
     hit = text.rlike(plain)

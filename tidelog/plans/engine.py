@@ -95,8 +95,10 @@ def reads(c: Command) -> set[str]:
 class Session:
     """Searches over a catalog of indexes, with lookups and knowledge objects."""
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, *, zone: str = "UTC", default_index: str | None = None):
-        self.spark, self.catalog, self.zone, self.default_index = spark, catalog, zone, default_index
+    def __init__(self, spark: SparkSession, catalog: Catalog, *, zone: str = "UTC", default_index: str | None = None, ceilings: bool = False):
+        """With ``ceilings``, aggregates and expansions of more than interactive size fail; without, only those that are
+        part of a command's definition do, and everything else grows with the data."""
+        self.spark, self.catalog, self.zone, self.default_index, self.ceilings = spark, catalog, zone, default_index, ceilings
         self.lookups: dict[str, lookups.Lookup] = {}
         self.knowledge: list[knowledge.Knowledge] = []
 
@@ -131,7 +133,7 @@ class Session:
         now = time.time() if now is None else now
         p = self.plan(source)
         lo, hi = resolve_range(earliest, latest, now, self.zone)
-        ctx = Context(now, self.zone, lo, hi, sid, self.lookups)
+        ctx = Context(now, self.zone, lo, hi, sid, self.lookups, self.ceilings)
         scoped = p.indexes
         if len(scoped) == len(self.catalog.bindings) and self.default_index:
             scoped = (self.default_index,)

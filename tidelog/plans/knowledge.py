@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidelog.functions.scalars import java_pattern
+from tidelog.functions.values import parsed_whole
+from tidelog.operators.multivalue import leaf
 from tidelog.plans.errors import SearchError
 from tidelog.plans.parser import _TOKEN, Cursor, Expressions
 from tidelog.plans.relation import Relation
@@ -111,9 +113,10 @@ def apply(rel: Relation, objects: Sequence[Knowledge]) -> Relation:
 
     def extract(o: Knowledge) -> dict[str, Column]:
         if o.kind == "json":
-            text = rel.field("_raw").txt
-            value = F.get_json_object(text, "$." + o.spec["path"])
-            return {o.spec["output"]: _put(rel, o, o.spec["output"], value, value.isNotNull())}
+            value = F.try_variant_get(parsed_whole(rel.field("_raw").txt), "$." + o.spec["path"], "variant")
+            if not o.spec.get("strict"):  # an object or array is no value, or fails the search, as the definition says
+                value = F.when(~F.schema_of_variant(value).rlike("^(OBJECT|ARRAY)"), value)
+            return {o.spec["output"]: _put(rel, o, o.spec["output"], leaf(value), value.isNotNull())}
         pattern = java_pattern(o.spec["pattern"])
         names = [m[1] for m in re.finditer(r"\\.|\(\?<([A-Za-z_]\w*)>|\((?!\?)", pattern) if not m[0].startswith("\\")]
         plain = re.sub(r"\(\?<[A-Za-z_]\w*>", "(", pattern)

@@ -35,7 +35,8 @@ class Order:
 
 @dataclass(frozen=True)
 class Context:
-    """What a search was admitted with: one clock reading (epoch seconds), time zone, range (epoch seconds or None), id."""
+    """What a search was admitted with: one clock reading (epoch seconds), time zone, range (epoch seconds or None), id,
+    and whether results of more than interactive size are refused."""
 
     now: float
     zone: str = "UTC"
@@ -43,6 +44,7 @@ class Context:
     latest: float | None = None
     sid: str = "search"
     lookups: dict | None = None
+    ceilings: bool = False
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,7 @@ from tidelog.common import ident, scratch, table
 from tidelog.plans import analysis
 from tidelog.plans.engine import Session
 from tidelog.plans.knowledge import Knowledge, Selector
+from tidelog.plans.paging import Retained
 from tidelog.sources import readers, sinks
 from tidelog.sources.catalog import parquet_folder
 from tidelog.streaming import ingest
@@ -256,6 +257,23 @@ def knowledge_stages(spark: SparkSession, d: str) -> DataFrame:
     return plain(s.search('index=log_events | fillnull value="unknown" env | stats count AS n, count(http_code) AS with_status BY env short', ordered=False, now=NOW))
 
 
+@register("SELECT coalesce(json_extract_string(j, '$.severity_text'), json_extract_string(j, '$.level'), 'none') AS lvl, count(*) AS n FROM (SELECT CASE WHEN json_valid(raw) AND raw LIKE '{%' THEN raw END AS j FROM log_events WHERE raw_encoding = 1) GROUP BY 1")
+def knowledge_json(spark: SparkSession, d: str) -> DataFrame:
+    """Values extracted from the events' own JSON text; objects and what is no JSON give none."""
+    s = session(spark, d)
+    s.add_knowledge(*[Knowledge("json", p, {"path": p, "output": "js_" + p}) for p in ("level", "severity_text", "scope")])
+    return plain(s.search('index=log_events raw_encoding=1 | eval lvl=coalesce(js_severity_text, js_level, js_scope, "none") | stats count AS n BY lvl', ordered=False, now=NOW))
+
+
+@register("SELECT event_id, round(value, 4) AS value FROM events ORDER BY value, event_id LIMIT 250 OFFSET 500")
+def search_paging(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of a sorted result that is kept."""
+    kept = Retained.keep(session(spark, d), scratch(spark, "pages"), b"key", "index=events | sort 0 value, event_id | table event_id value", now=NOW)
+    _, second = kept.page(250)
+    _, third = kept.page(250, second)
+    return plain(kept.page(250, third)[0])
+
+
 @register("SELECT index_name AS index, count(*) FILTER (index_name LIKE 'm%') AS tagged, count(*) AS n FROM log_events GROUP BY 1")
 def knowledge_selector(spark: SparkSession, d: str) -> DataFrame:
     """A calculated field that holds for some indexes only, and one that a nearer scope replaces."""
