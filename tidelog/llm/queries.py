@@ -184,6 +184,18 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p2_found, p2_daily, p2_unions, p2_unions_checked, p2_chosen_checked, p3_found, p3_daily, p3_all_days, p3_daily_checked, p3_all_days_checked, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_classes, p9_forms)}
 
 _P2_DAYS = "WITH e AS (SELECT index_name, strftime(event_time, '%Y-%m-%d') AS event_day, host, source, event_id FROM log_events) "
+#: The form of a text in SQL, for the characters that the tables hold: signs that don't show, kinds of space, full-width
+#: forms, look-alike letters, accents.
+_FULL_WIDTH = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_LETTERS = "".join(x for x, _ in lookalike.LOOK_ALIKES), "".join(x for _, x in lookalike.LOOK_ALIKES)
+_FORM = (
+    r"nfc_normalize(translate(translate(regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]', '', 'g'), '[\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), "
+    f"'{_FULL_WIDTH[0]}', '{_FULL_WIDTH[1]}'), '{_LETTERS[0]}', '{_LETTERS[1]}'))"
+)
+_DOC_FORMS = f"WITH f AS (SELECT doc_id, text, {_FORM} AS form FROM documents) "
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')".format(_FORM)
+_RUNS = "SELECT DISTINCT {0}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {0}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {0}, {2} AS w FROM {1}) WHERE len(w) >= 12)"
+
 _P3_ONCE = "WITH once AS (SELECT DISTINCT search_job_id, app_id, strftime(created_at, '%Y-%m-%d') AS created_day, duration, scanned_bytes, scanned_rows FROM search_history WHERE final_state = 6 AND app_id IS NOT NULL) "
 _P3_LONG = _P3_ONCE + ", v AS (SELECT app_id, created_day, 'duration' AS metric, duration AS v FROM once WHERE duration >= 0 UNION ALL SELECT app_id, created_day, 'scanned_bytes', scanned_bytes FROM once WHERE scanned_bytes >= 0 UNION ALL SELECT app_id, created_day, 'scanned_rows', scanned_rows FROM once WHERE scanned_rows >= 0) "
 
@@ -209,4 +221,8 @@ UNION ALL SELECT app_id, created_day, 'scanned_rows' FROM once WHERE scanned_row
 WITH n AS (SELECT source, sum(len(regexp_extract_all(text, '\S+'))) AS t FROM documents GROUP BY 1),
 m AS (SELECT x.source, target_weight, max_repeats, coalesce(t, 0) AS t FROM mix_targets x LEFT JOIN n USING (source))
 SELECT source FROM m WHERE t * max_repeats < target_weight / (SELECT sum(target_weight) FROM m) * (SELECT sum(t) FROM m)""",
+    "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents', _WORDS)}), i AS ({_RUNS.format('item_id', 'eval_items', _WORDS)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
+    "p9_found": _DOC_FORMS + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
+    "p9_classes": _DOC_FORMS + ", n AS (SELECT form, count(DISTINCT text) AS n_texts FROM f GROUP BY 1) SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_id, min(doc_id) OVER (PARTITION BY text) AS text_id, count(*) OVER (PARTITION BY form) AS n_docs, n_texts FROM f JOIN n USING (form)",
+    "p9_forms": _DOC_FORMS + "SELECT doc_id, text, form FROM f",
 }
