@@ -296,3 +296,13 @@ def test_json_extraction_of_containers(s):
                 k.search("index=e | table a").collect()
         else:
             assert sorted(values(k, "index=e | table a", "a"), key=repr) == ["5", None, None]
+
+
+def test_exact_percentiles_beyond_the_buffer(s, monkeypatch):
+    from tidelog.operators import grouping
+
+    q = "index=e | stats exactperc50(n) AS a, exactperc99(id) AS b, count AS c BY host | sort host"
+    first = values(s, q, "host", "a", "b", "c")
+    monkeypatch.setattr(grouping, "SMALL_ROWS", 0)
+    assert values(s, q, "host", "a", "b", "c") == first == [("h1", 1.5, 2.0, 2), ("h2", 25.0, 5.0, 2)]
+    assert values(s, "index=e | stats exactperc50(id) AS a", "a") == [3.0]

@@ -67,3 +67,16 @@ def test_heavy_keys_against_brute_force(spark, monkeypatch, bits):
 def test_values_at_exactly_the_share(spark):
     rows = [(str(i % 20), "k", 1, 1, "c", 2) for i in range(200)]  # each value holds exactly a twentieth
     assert skew.heavy_keys(spark.createDataFrame(rows, SCHEMA), ["a"], 0.05).count() == 20
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_exact_quantiles_of_doubles(spark, monkeypatch, bound):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", bound)
+    r = random.Random(6)
+    make = [lambda: r.gauss(0, 1), lambda: 10.0 ** r.uniform(-30, 30), lambda: float(r.randrange(3)), lambda: 1.7e308 * r.choice([-1, 1]) * r.random(), lambda: 1.0 + r.randrange(4) * 2.0**-52]
+    rows = [(r.choice(["a"] * 9 + ["b", None]), make[i % 5]() if r.random() > 0.05 else r.choice([None, float("nan")])) for i in range(500)]
+    got = {x["key"]["g0"]: x["quantiles"] for x in skew.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), [skew.ident("k")], skew.ident("v"), QS).collect()}
+    for key in ("a", "b", None):
+        vs = sorted(v for k, v in rows if k == key and v is not None and v == v)
+        assert got[key] == [vs[max(1, math.ceil(round(q * len(vs), 6))) - 1] for q in QS]
+    assert skew.exact_quantiles(spark.createDataFrame([], "k string, v double"), [], skew.ident("v"), QS).collect() == []

@@ -13,10 +13,11 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, ident
+from tidelog.common import PRIVATE, ident, rows_at_most
 from tidelog.functions.scalars import Value
 from tidelog.functions.values import mixed_struct
 from tidelog.operators.ordering import _same
+from tidelog.operators.skewed_keys import exact_quantiles
 from tidelog.plans.errors import DataError, SearchError
 from tidelog.plans.nodes import Command, Field, Measure
 from tidelog.plans.parser import is_boolean
@@ -27,6 +28,9 @@ LIST_ENTRIES, VALUES_ENTRIES, POINTS = 100, 10_000, 100
 #: Fixed values of a session with ceilings: values that ``dc`` counts, and bytes of a list's texts.
 DISTINCT, LIST_BYTES = 100_000, 512 * 1024
 PERCENTILE_ACCURACY = 10_000
+#: Up to this many rows an exact percentile's buffer holds all values; beyond it ranks are resolved by histograms. Both
+#: give the same value.
+SMALL_ROWS = 1_000_000
 #: The error that is stated for an estimated distinct count, and from which count on.
 ESTDC_FROM, ESTDC_ERROR = 1000, 0.002872621298570349
 #: Slots that a sparkline without span may have, in seconds.
@@ -227,6 +231,9 @@ def aggregate(rel: Relation, measures: Sequence[Measure], groups: Sequence[str],
         v = measure_value(rel, m)
         if m.func == "sparkline":
             apart.append((m, _sparkline(rel, groups, m)))
+        elif m.func == "exactperc" and v.kind != "mv" and not allnum and not rows_at_most(rel.df.select(F.lit(1)), SMALL_ROWS):
+            exact = exact_quantiles(rel.df, [ident(g) for g in groups], v.num, [float(m.param or 0.5)])
+            apart.append((m, exact.select(*[F.col(f"key.g{i}").alias(g) for i, g in enumerate(groups)], F.col("quantiles")[0].alias(PRIVATE + "list"))))
         elif m.func in ("values", "mode"):
             text, source = v.txt, rel
             if v.kind == "mv":

@@ -135,3 +135,37 @@ def heavy_keys(df: DataFrame, key_fields: Sequence[str], share: float) -> DataFr
     frequent = state.join(F.broadcast(limits), "key_field").where("at >= least").select("key_field", F.col(_PRE).alias("v"), "least").distinct()
     # at most 1 / share rows a field
     return rows.join(F.broadcast(frequent), ["key_field", "v"]).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("least")).where("n >= least").drop("least")
+
+
+def exact_quantiles(df: DataFrame, groups: Sequence[Column], value: Column, quantiles: Sequence[float], buckets: int = 2048) -> DataFrame:
+    """Exact nearest-rank quantiles of any numeric column per group: ``key``, a struct of the groups, and ``quantiles``.
+
+    As in ``keyed_selection``, but the bucket of a rank is narrowed to the least and the greatest value found in it,
+    until these are one. The first pass divides by sign and power of two, the others evenly, so that with 2048 buckets
+    seven passes resolve any doubles. Nulls and NaN don't count, so a group of nothing else has no row; null groups
+    are groups of their own; an empty table gives no rows.
+    """
+    key = F.struct(*[g.alias(f"g{i}") for i, g in enumerate(groups)]) if groups else F.struct(F.lit(0).alias("g0"))
+    long = df.select(key.alias("key"), value.cast("double").alias("v")).where("v is not null and not isnan(v)")
+    q = F.explode(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(x)).alias("q")) for i, x in enumerate(quantiles)]))
+    totals = cut(long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    rank = F.greatest(F.lit(1), F.ceil(F.round(F.col("q.q") * F.col("n"), 6))).cast("long")
+    state = totals.select("key", "n", "lo", "hi", q.alias("q")).select("key", F.col("q.qi").alias("qi"), rank.alias("rank"), "lo", "hi")
+    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)  # halves, so that no difference overflows
+    even = F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias(_B)
+    size = F.abs("v")
+    power = F.signum("v") * F.when(size == 0, F.lit(0)).when(size == F.lit(float("inf")), F.lit(4000)).otherwise(F.floor(F.log2(size)) + 2000)
+    bucket = power.cast("long").alias(_B)
+    w = Window.partitionBy("key", "lo", "hi").orderBy(_B)  # as many rows as there are buckets
+    while not (open_ := state.where("hi > lo")).isEmpty():
+        intervals, rows, on = open_.select("key", "lo", "hi").distinct(), long, ["key"]
+        if rows_at_most(intervals, BROADCAST_ROWS):
+            intervals = F.broadcast(intervals)
+        else:  # the rows of a key, equal ones too, are spread by where they stand
+            rows, on = rows.withColumn(_PRE, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16))), ["key", _PRE]
+            intervals = intervals.withColumn(_PRE, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+        counts = rows.join(intervals, on).where("v between lo and hi").groupBy("key", "lo", "hi", bucket).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("l"), F.max("v").alias("h"))
+        hit = open_.join(counts.withColumn("upto", F.sum("c").over(w)), ["key", "lo", "hi"]).where("rank <= upto and rank > upto - c")
+        closer = hit.select("key", "qi", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.col("l").alias("lo"), F.col("h").alias("hi"))
+        state, bucket = cut(closer.unionByName(state.where("hi <= lo"))), even
+    return state.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", "lo"))), lambda x: x["lo"]).alias("quantiles"))
