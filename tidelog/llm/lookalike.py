@@ -265,7 +265,7 @@ def look_alike_pairs(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     few = texts.join(several, "form", "left_semi").select("form", "written", F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / MEMBERS)).alias("salts"))
     a, b = few.withColumnsRenamed({"written": "wa", "salts": "sa"}), few.withColumnsRenamed({"written": "wb", "salts": "sb"})
     pairs = a.join(b, "form").where("wa < wb")
-    members = _salted(rows.join(several, "form", "left_semi"), texts)
+    members = _salted(rows, texts).join(few.select("form", "written", F.explode("salts").alias("salt")), ["form", "written", "salt"], "left_semi")
     left = members.select("form", F.col("written").alias("wa"), F.col("salt").alias("sa"), F.col("doc_id").alias(PRIVATE + "x"))
     right = members.select("form", F.col("written").alias("wb"), F.col("salt").alias("sb"), F.col("doc_id").alias(PRIVATE + "y"))
     both = pairs.withColumn("sa", F.explode("sa")).join(left, ["form", "wa", "sa"]).withColumn("sb", F.explode("sb")).join(right, ["form", "wb", "sb"])

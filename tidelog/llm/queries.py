@@ -169,6 +169,18 @@ def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.select_prefix(texts, plan, _LEVELS).withColumnRenamed("rep", "doc_id")
 
 
+def p8_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Per source whether no text is used more often than allowed, and whether what was chosen lies within a text a leaf of the budgets."""
+    texts, plan = _tree(spark, d)
+    chosen = mixture.select_prefix(texts, plan, _LEVELS)
+    want = plan.groupBy("source").agg(F.sum("budget").alias("budget"), F.count(F.lit(1)).alias("leaves"), F.max("max_repeats").cast("long").alias("max_repeats"))
+    uses = chosen.groupBy("source", "rep").agg(F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("t"), F.max("tokens").alias("longest"))
+    got = uses.groupBy("source").agg(F.max("uses").alias("uses"), F.sum("t").alias("t"), F.max("longest").alias("longest"))
+    longest = texts.groupBy("source").agg(F.max("tokens").alias("most"))
+    rows = want.join(got, "source", "left").join(longest, "source", "left").fillna(0)
+    return rows.select("source", "max_repeats", (F.col("uses") <= F.col("max_repeats")).alias("within_repeats"), (F.abs(F.col("t") - F.col("budget")) <= F.col("leaves") * F.col("most") + 1).alias("near_budget"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -181,7 +193,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.with_form(table(spark, d, "documents").select("doc_id", "text"), "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_daily, p2_unions, p2_unions_checked, p2_chosen_checked, p3_found, p3_daily, p3_all_days, p3_daily_checked, p3_all_days_checked, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p9_found, p9_classes, p9_forms)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_daily, p2_unions, p2_unions_checked, p2_chosen_checked, p3_found, p3_daily, p3_all_days, p3_daily_checked, p3_all_days_checked, p7_found, p7_leaks, p8_found, p8_shares, p8_mixture, p8_checked, p9_found, p9_classes, p9_forms)}
 
 _P2_DAYS = "WITH e AS (SELECT index_name, strftime(event_time, '%Y-%m-%d') AS event_day, host, source, event_id FROM log_events) "
 #: The form of a text in SQL, for the characters that the tables hold: signs that don't show, kinds of space, full-width
@@ -221,6 +233,7 @@ UNION ALL SELECT app_id, created_day, 'scanned_rows' FROM once WHERE scanned_row
 WITH n AS (SELECT source, sum(len(regexp_extract_all(text, '\S+'))) AS t FROM documents GROUP BY 1),
 m AS (SELECT x.source, target_weight, max_repeats, coalesce(t, 0) AS t FROM mix_targets x LEFT JOIN n USING (source))
 SELECT source FROM m WHERE t * max_repeats < target_weight / (SELECT sum(target_weight) FROM m) * (SELECT sum(t) FROM m)""",
+    "p8_checked": "SELECT source, CAST(max_repeats AS BIGINT) AS max_repeats, true AS within_repeats, true AS near_budget FROM mix_targets",
     "p7_found": f"WITH d AS ({_RUNS.format('doc_id', 'documents', _WORDS)}), i AS ({_RUNS.format('item_id', 'eval_items', _WORDS)}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run)",
     "p9_found": _DOC_FORMS + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id",
     "p9_classes": _DOC_FORMS + ", n AS (SELECT form, count(DISTINCT text) AS n_texts FROM f GROUP BY 1) SELECT doc_id, min(doc_id) OVER (PARTITION BY form) AS form_id, min(doc_id) OVER (PARTITION BY text) AS text_id, count(*) OVER (PARTITION BY form) AS n_docs, n_texts FROM f JOIN n USING (form)",
