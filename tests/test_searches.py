@@ -306,3 +306,14 @@ def test_exact_percentiles_beyond_the_buffer(s, monkeypatch):
     monkeypatch.setattr(grouping, "SMALL_ROWS", 0)
     assert values(s, q, "host", "a", "b", "c") == first == [("h1", 1.5, 2.0, 2), ("h2", 25.0, 5.0, 2)]
     assert values(s, "index=e | stats exactperc50(id) AS a", "a") == [3.0]
+
+
+def test_text_tests_reach_the_scan(spark, tmp_path):
+    words = ["error", "ERROR", "Error", "errors", "erro", "warn", None, "", "toKen", "to\u212aen", "TOKEN", "tokem", "tokfn"]
+    spark.createDataFrame([(i, T0, w) for i, w in enumerate(words)], "id long, at timestamp, w string").write.parquet(str(tmp_path / "t"))
+    c = Catalog()
+    c.add(Binding("t", lambda x: x.read.parquet(str(tmp_path / "t")), time="at", keys=("id",)))
+    q = Session(spark, c, default_index="t")
+    assert sorted(ids(q, "w=eRRor")) == [0, 1, 2] and sorted(ids(q, "w=token")) == [8, 9, 10] and sorted(ids(q, "NOT w=error")) == list(range(3, 13)) and ids(q, 'w=""') == [7]
+    plan = q.explain("w=error | table id")
+    assert "GreaterThanOrEqual(w,ERROR)" in plan and "LessThanOrEqual(w,error)" in plan

@@ -59,6 +59,27 @@ def test_envelope_errors_refuse_the_request(spark):
             assert None not in problems and (bodies | more)[text] in problems, text
 
 
+def test_packed_bodies(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"event":"one"}\n{"event":"two"}'))
+    (tmp_path / "b.json").write_text('{"event":"three"}')
+    got = readers.read_envelopes(spark, str(tmp_path), received=when(), defaults={"index": "i"})
+    assert sorted((r["_raw"], r["problem"]) for r in got.collect()) == [("one", None), ("three", None), ("two", None)]
+
+
+def test_dropping_an_index_touches_no_other(spark, tmp_path):
+    df = spark.createDataFrame([(x, i, dt.datetime(2024, 1, 31)) for i, x in enumerate(("a", "b", "a=/c", None))], "index string, n int, _time timestamp")
+    store = sinks.EventStore(spark, str(tmp_path / "s"))
+    store.append(df, "one")
+    store.append(df, "two")
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    assert store.drop_index("a=/c") == 2 and store.drop_index("a=/c") == 0
+    assert sorted(r["n"] for r in store.read().collect()) == [0, 0, 1, 1, 3, 3]
+    left = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    assert len(left) < len(kept) and left.items() <= kept.items()
+
+
 def test_raw_bodies_and_redaction(spark):
     df = spark.createDataFrame([(1, "a\r\n\nb\rc\n"), (2, None)], "id int, body string")
     assert [(r["id"], r["_raw"]) for r in readers.split_raw_body(df, "body").orderBy("line_no").collect()] == [(1, "a"), (1, "b\rc")]

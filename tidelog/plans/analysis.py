@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidelog.common import PRIVATE, div, ident, rows_at_most
@@ -121,6 +121,18 @@ def suggestions(session: Session, text: str, limit: int = 20) -> list[dict]:
     return [{"kind": k, "text": n} for _, k, n in ranked[:limit]]
 
 
+def read_statistics(session: Session, source: str, *args, **options) -> dict:
+    """What a search reads and gives: ``files`` and ``bytes`` of its scan as planned, ``matched_events`` and
+    ``produced_rows`` as counted by running it."""
+    matched, whole = session.relation(source, *args, upto=0, **options), session.relation(source, *args, **options)
+    seen = Observation()
+    got = matched.df.observe(seen, F.count(F.lit(1)).alias("n"))
+    got.write.format("noop").mode("overwrite").save()
+    scans = [session.catalog.bindings[n].read(session.spark) for n in session.plan(source).indexes]
+    size = sum(int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for x in scans)
+    return {"files": sum(len(x.inputFiles()) for x in scans), "bytes": size, "matched_events": seen.get["n"], "produced_rows": whole.df.count()}
+
+
 def inspect(session: Session, source: str) -> list[dict]:
     """The stages of a search without its literals: what runs, and which fields it reads."""
     p = session.plan(source)

@@ -109,6 +109,8 @@ add("eval_rounding", E + "eval a=round(value), b=round(value,1), c=ceil(value),
 add("eval_now", E + "eval age=now()-_time | stats max(age) AS oldest", "SELECT round(max(1706745600 - epoch_us(ts) / 1e6), 4) AS oldest FROM events")
 add("eval_strftime", E + 'eval d=strftime(_time, "%Y-%m-%d %H:%M:%S.%6Q %p %j %a %b %e|%I %y %B %A %w %z %s %F %T %%") | table event_id d',
     "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f %p %j %a %b ') || lpad(CAST(day(ts) AS VARCHAR), 2, ' ') || strftime(ts, '|%I %y %B %A %w +0000 ') || CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) || strftime(ts, ' %Y-%m-%d %H:%M:%S %%') AS d FROM events")
+add("eval_strftime_more", E + 'eval d=strftime(_time, "%G-%V %g %:z %Q %3Q %9Q %N %f") | table event_id d',
+    "SELECT event_id, strftime(ts, '%G-%V ') || right(strftime(ts, '%G'), 2) || ' +00:00 ' || left(strftime(ts, '%f'), 3) || ' ' || left(strftime(ts, '%f'), 3) || strftime(ts, ' %f000 %f000 %f') AS d FROM events")
 add("eval_strptime", E + 'eval t=strptime(strftime(_time, "%d/%b/%Y %H:%M:%S"), "%d/%b/%Y %H:%M:%S"), bad=strptime("2024-13-01", "%Y-%m-%d") | table event_id t bad',
     "SELECT event_id, CAST(floor(epoch_us(ts) / 1e6) AS DOUBLE) AS t, CAST(NULL AS DOUBLE) AS bad FROM events")
 add("eval_relative_time", E + 'eval d=relative_time(_time, "-1d@d"), w=relative_time(_time, "@w1"), m=relative_time(_time, "@mon+2h"), q=relative_time(_time, "-1q@q") | table event_id d w m q',
@@ -321,6 +323,13 @@ def analysis_inspect(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, r["stage"], ",".join(r["reads"])) for i, r in enumerate(rows)], "no long, stage string, reads string")
 
 
+@register("SELECT count(*) AS matched_events, count(DISTINCT user_id) AS produced_rows, true AS has_files FROM events WHERE event_type = 'error'")
+def analysis_read_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What a search reads and gives."""
+    got = analysis.read_statistics(session(spark, d), "index=events event_type=error | stats count BY user_id", now=NOW)
+    return spark.createDataFrame([(got["matched_events"], got["produced_rows"], got["files"] > 0 and got["bytes"] > 0)], "matched_events long, produced_rows long, has_files boolean")
+
+
 @register("SELECT index_name AS index, count(*) AS events, epoch_us(min(event_time)) AS first_event, epoch_us(max(event_time)) AS last_event FROM log_events GROUP BY 1")
 def source_index_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Events, first and last time per index."""
@@ -388,14 +397,17 @@ def source_generator(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT index_name AS index, count(*) AS n, count(DISTINCT raw) AS texts FROM log_events WHERE raw_encoding = 1 AND raw <> '' GROUP BY 1")
 def source_event_store(spark: SparkSession, d: str) -> DataFrame:
-    """Decoded events appended to a store twice under one token, one index deleted again by a rewrite and put back."""
+    """Decoded events appended to a store twice under one token; one index deleted by a rewrite and put back, one dropped
+    and put back."""
     rows = table(spark, d, "log_events").where("raw_encoding = 1 and raw <> ''").select(F.col("index_name").alias("index"), "tenant_id", "raw", F.col("event_time").cast("timestamp").alias("_time"))
     at = scratch(spark, "store")
     store = sinks.EventStore(spark, at + "/first")
     for _ in range(2):
         store.append(rows, "batch-1")
     left = store.delete_index("main", at + "/second")
-    left.append(rows.where("index = 'main'"), "batch-2")
+    left.append(rows.where("index = 'main' or index = 'audit'"), "batch-2")
+    left.drop_index("audit")
+    left.append(rows.where("index = 'audit'"), "batch-3")
     return left.read().groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("raw").alias("texts"))
 
 

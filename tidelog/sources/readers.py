@@ -138,6 +138,11 @@ def split_envelopes(bodies: DataFrame, body: str, *, received: Column | None = N
     )
 
 
+def read_envelopes(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The events of files that each hold a request body; files ending in .gz are unpacked."""
+    return split_envelopes(spark.read.text(path, wholetext=True).withColumnRenamed("value", "body"), "body", **options)
+
+
 def read_lookup_csv(spark: SparkSession, path: str) -> DataFrame:
     """A lookup file: comma-separated with a header of unique names, all cells texts, empty cells empty texts."""
     head = spark.read.text(path).limit(1).collect()

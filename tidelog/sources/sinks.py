@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +63,11 @@ def write_json_lines(df: DataFrame, path: str, **options) -> None:
 
 
 class EventStore:
-    """Events in a folder by month of event time and batch.
+    """Events in a folder by batch, index and month of event time.
 
     A batch is written under its token and replaces what that token wrote before, so a retried append changes
-    nothing. Expired events vanish from reads; ``purge`` rewrites what still holds them.
+    nothing. Expired events vanish from reads; ``purge`` rewrites what still holds them. An index lies in folders of
+    its own, named by a digest of its name, so that it can be dropped without touching others.
     """
 
     def __init__(self, spark: SparkSession, path: str, time: str = "_time"):
@@ -74,8 +76,9 @@ class EventStore:
     def append(self, events: DataFrame, token: str) -> None:
         if not token or not token.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a token consists of letters, digits, - and _")
-        rows = events.withColumn("month", F.date_format(ident(self.time), "yyyy-MM"))
-        rows.write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/batch={token}")
+        part = F.md5(F.coalesce(ident("index").cast("string"), F.lit("")).cast("binary")) if "index" in events.columns else F.lit("all")
+        rows = events.withColumn("part", part).withColumn("month", F.date_format(ident(self.time), "yyyy-MM"))
+        rows.write.mode("overwrite").partitionBy("part", "month").parquet(f"{self.path}/batch={token}")
 
     def _stored(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
@@ -94,13 +97,24 @@ class EventStore:
             gone = gone & (F.col("tenant_id") == tenant)
         return self._rewrite(self._stored().where(~F.coalesce(gone, F.lit(False))), into)
 
+    def drop_index(self, index: str) -> int:
+        """Removes an index's folders from every batch, here and now, and nothing else; gives their number. Dropping
+        again removes nothing. Readers at work on the index will fail."""
+        digest = hashlib.md5(index.encode()).hexdigest()
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/part={digest}")
+        files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        folders = [x.getPath() for x in files.globStatus(pattern) or []]
+        for folder in folders:  # one per batch
+            files.delete(folder, True)
+        return len(folders)
+
     def purge(self, into: str, now: Column | None = None) -> EventStore:
         """A new store without expired events."""
         return self._rewrite(self.read(now), into)
 
     def _rewrite(self, df: DataFrame, into: str) -> EventStore:
         into = into.rstrip("/")
-        df.write.mode("overwrite").partitionBy("batch", "month").parquet(into)
+        df.write.mode("overwrite").partitionBy("batch", "part", "month").parquet(into)
         return EventStore(self.spark, into, self.time)
 
 
