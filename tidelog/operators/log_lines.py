@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, div, ident, micros
+from tidelog.common import PRIVATE, cut, div, ident, micros
 
 #: The header expressions that start a record. Structured lines start one by their opening sign.
 RECORD_START = "|".join((
@@ -241,8 +241,37 @@ def parse_texts(df: DataFrame, raw: str, near: str) -> DataFrame:
     return parse_records(rows.withColumn("record_no", F.coalesce("record_no", F.lit(0))), PRIVATE + "record", PRIVATE + "near").drop(PRIVATE + "near", PRIVATE + "record")
 
 
+def _assemble(lines: DataFrame, file: str, line_no: str, line: str, near: str | None, block: int, longest: int) -> tuple[DataFrame, bool]:
+    """The records and whether any may have several parts. Starts are counted per file and block of lines first; if no
+    file has more than one block, a file's lines move once, to be numbered and put together."""
+    base = lines.select(
+        ident(file).alias("file"), ident(line_no).cast("long").alias("no"), F.coalesce(ident(line).cast("string"), F.lit("")).alias("line"), (micros(near) if near else F.lit(None).cast("long")).alias("near"),
+    )
+    base = base.withColumn("start", F.col("line").rlike("^(?:" + RECORD_START + ")")).withColumn("blk", div(F.coalesce("no", F.lit(0)), F.lit(block)))
+    at_start = F.when(F.col("start"), F.col("no"))
+    counts = cut(base.groupBy("file", "blk").agg(F.count_if("start").alias("s"), F.max(at_start).alias("last"), F.min("no").alias("least"), F.count(F.lit(1)).alias("n")))
+    blocks, most = counts.groupBy("file").agg(F.count(F.lit(1)).alias("b"), F.sum("n").alias("n")).agg(F.max("b"), F.max("n")).first()
+    several = (blocks or 0) > 1
+    w = Window.partitionBy("file", *(["blk"] if several else [])).orderBy("no", "line").rowsBetween(Window.unboundedPreceding, 0)  # one block
+    rows = base.withColumn("record_no", F.sum(F.col("start").cast("long")).over(w)).withColumn("first", F.max(at_start).over(w)).withColumn("least", F.min("no").over(w))
+    if several:
+        before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+        shifts = counts.select(
+            F.col("file").alias("f2"), F.col("blk").alias("b2"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("shift"), F.max("last").over(before).alias("carried"), F.min("least").over(before).alias("least2"),
+        )
+        rows = rows.join(shifts, rows["file"].eqNullSafe(shifts["f2"]) & (rows["blk"] == shifts["b2"]))
+        rows = rows.withColumn("record_no", F.col("record_no") + F.col("shift")).withColumn("first", F.coalesce("first", "carried", "least2"))
+    place = F.coalesce(F.col("no") - F.coalesce("first", "least"), F.lit(0))
+    parts = rows.withColumn("part", div(place, F.lit(longest)))
+    got = parts.groupBy("file", "record_no", "part").agg(
+        F.min("no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.min("near").alias(PRIVATE + "near"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("ls"),
+    )
+    text = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
+    return got.select("file", "record_no", "part", "first_line", "n_lines", text.alias("text"), PRIVATE + "near"), (most or 0) > longest
+
+
 def assemble_records(lines: DataFrame, file: str, line_no: str, line: str, *, block: int = 100_000, longest: int = 10_000) -> DataFrame:
-    """Lines of files into records: ``file, record_no, first_line, n_lines, text``.
+    """Lines of files into records: ``file, record_no, part, first_line, n_lines, text``.
 
     A record's number is the count of starts up to its lines, kept per block of ``block`` lines and then shifted by
     the starts of the blocks before it, so a file of any length is never in one task. Lines before a file's first
@@ -251,31 +280,21 @@ def assemble_records(lines: DataFrame, file: str, line_no: str, line: str, *, bl
     number are one file of their own or come first; line numbers should be unique in a file, ties are put in
     order of their text. Other columns are ignored.
     """
-    base = lines.select(ident(file).alias("file"), ident(line_no).cast("long").alias("no"), F.coalesce(ident(line).cast("string"), F.lit("")).alias("line"))
-    base = base.withColumn("starts", F.col("line").rlike("^(?:" + RECORD_START + ")").cast("long")).withColumn("blk", div(F.coalesce("no", F.lit(0)), F.lit(block)))
-    counts = base.groupBy("file", "blk").agg(F.sum("starts").alias("s"))
-    before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    shifts = counts.select(F.col("file").alias("f2"), F.col("blk").alias("b2"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("shift"))
-    w = Window.partitionBy("file", "blk").orderBy("no", "line").rowsBetween(Window.unboundedPreceding, 0)
-    local = base.withColumn("local", F.sum("starts").over(w))
-    numbered = local.join(shifts, local["file"].eqNullSafe(shifts["f2"]) & (local["blk"] == shifts["b2"])).withColumn("record_no", F.col("local") + F.col("shift"))
-    first = numbered.groupBy(F.col("file").alias("f3"), F.col("record_no").alias("r3")).agg(F.min("no").alias("first"))
-    parts = numbered.join(first, numbered["file"].eqNullSafe(first["f3"]) & (numbered["record_no"] == first["r3"])).withColumn("part", div(F.coalesce(F.col("no") - F.col("first"), F.lit(0)), F.lit(longest)))
-    return parts.groupBy("file", "record_no", "part").agg(F.min("no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"), F.array_sort(F.collect_list(F.struct("no", "line"))).alias("ls")).select(
-        "file", "record_no", "part", "first_line", "n_lines", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"),
-    )
+    return _assemble(lines, file, line_no, line, None, block, longest)[0].drop(PRIVATE + "near")
 
 
 def parse_lines(lines: DataFrame, file: str, line_no: str, line: str, near: str, *, block: int = 100_000, longest: int = 10_000) -> DataFrame:
     """Lines of files into parsed records: the columns of ``assemble_records`` without ``text``, and ``entry``.
 
-    ``near`` is a time of the line's file; its earliest is used. Of a record in several parts only the first is
+    ``near`` is a time of the line; the earliest of a record's is used. Of a record in several parts only the first is
     parsed: later parts have its layout, time, level and component, and their own text as message.
     """
-    recs = assemble_records(lines, file, line_no, line, block=block, longest=longest)
-    times = lines.groupBy(ident(file).alias(PRIVATE + "f")).agg(F.min(micros(near)).alias(PRIVATE + "near"))
-    recs = recs.join(times, recs["file"].eqNullSafe(times[PRIVATE + "f"]), "left").drop(PRIVATE + "f")
-    heads = parse_records(recs.where("part = 0"), "text", PRIVATE + "near").drop("text", PRIVATE + "near")
+    recs, may_have_parts = _assemble(lines, file, line_no, line, near, block, longest)
+    if may_have_parts:
+        recs = cut(recs)  # heads and later parts are taken from the same records
+    heads = parse_records(recs.where("part = 0") if may_have_parts else recs, "text", PRIVATE + "near").drop("text", PRIVATE + "near")
+    if not may_have_parts:
+        return heads
     rest = recs.where("part > 0").alias("p").join(heads.select("file", "record_no", "entry").alias("h"), F.expr("p.file <=> h.file AND p.record_no = h.record_no"))
     later = rest.select("p.file", "p.record_no", "p.part", "p.first_line", "p.n_lines", F.col("h.entry").withField("message", F.col("p.text")).withField("n_lines", F.col("p.n_lines").cast("int")).alias("entry"))
     return heads.select(*later.columns).unionByName(later)
