@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.common import PRIVATE, div, ident
+from tidelog.common import PRIVATE, div, ident, rows_at_most
 from tidelog.functions.values import order_key
 from tidelog.operators.grouping import aggregate
 from tidelog.operators.rows import SECONDS
@@ -93,7 +93,7 @@ def chart(rel: Relation, c: Command) -> Relation:
     base = rel.set({_AXIS: r.col, _LABEL: v.txt.cast("string")})
     base = base.with_(df=base.df.where(F.col(_AXIS).isNotNull()))
     wide, shown = _split(base, m)
-    if wide.limit(ROWS + 1).count() > ROWS:
+    if not rows_at_most(wide, ROWS):
         raise DataError(f"the chart has more than {ROWS} rows")
     df = wide.select(ident(_AXIS).alias(row), *[_cell(ident(a), m).alias(b) for a, b in shown if b != row])
     out = rel.grouped(df, [])
