@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from tidelog.operators import late_events as late
 
 SCHEMA = "tenant string, id string, idx string, at timestamp, arrived timestamp, v long, n_late string, period_start int"
@@ -96,3 +98,13 @@ def test_store_counts_redeliveries_of_closed_periods_nowhere(spark, tmp_path):
     # a batch reads the identities of its own days only
     seen = spark.read.parquet(str(tmp_path / "s/seen"))
     assert "day" in seen.columns and seen.where("day = 0").count() == 0
+
+
+@pytest.mark.parametrize("ids", [["7", "007", "x"], ["2024-01-01", "2024-01-02", "b"]])
+def test_batch_ids_are_texts(spark, tmp_path, ids):
+    rows = [row(str(i), at=T0, arrived=T0 + dt.timedelta(minutes=i)) for i in range(9)]
+    store = late.PeriodStore(spark, str(tmp_path / "s"), ["idx"], event_time="at", arrival="arrived", identity=["tenant", "id"])
+    for i, b in enumerate(ids):
+        store.merge(spark.createDataFrame(rows[3 * i : 3 * i + 3], SCHEMA), b)
+    store.merge(spark.createDataFrame(rows[6:], SCHEMA), ids[2])
+    assert counts(store.read()) == brute(rows)

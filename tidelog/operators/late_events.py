@@ -115,7 +115,8 @@ _DAY = 86_400
 
 
 class PeriodStore:
-    """Partials kept in a folder, one sub-folder per merged batch, combined on read.
+    """Partials kept in a folder, one sub-folder per merged batch, combined on read. Batch ids are texts, whatever they
+    look like.
 
     ``merge`` reduces a batch to partials and writes them under its batch id; writing the same id again replaces
     it, so a retried batch changes nothing. The identities of a batch are kept beside the partials by the day of their
@@ -146,17 +147,17 @@ class PeriodStore:
             days = [r[0] for r in batch.select(day.alias("d")).distinct().where("d is not null").limit(self.MOST_DAYS + 1).collect()]
             if len(days) <= self.MOST_DAYS:
                 seen = seen.where(F.col("day").isin(days))
-            seen = seen.where(F.col("batch_id") != F.lit(str(batch_id)))
+            seen = seen.where(F.col("batch_id") != F.lit(f"b-{batch_id}"))
             cond = [batch[c] == seen[f"id{i}"] for i, c in enumerate(self.identity)]
             new = batch.join(seen, cond, "left_anti")
         partials = period_partials(new, self.keys, event_time=self.event_time, arrival=self.arrival, identity=self.identity, values=self.values, rule=self.rule)
-        partials.write.mode("overwrite").parquet(f"{self.path}/partials/batch_id={batch_id}")
+        partials.write.mode("overwrite").parquet(f"{self.path}/partials/batch_id=b-{batch_id}")
         known = F.lit(True)
         for c in self.identity:
             known = known & ident(c).isNotNull()
         ids = new.where(known).select(*[ident(c).alias(f"id{i}") for i, c in enumerate(self.identity)], day.alias("day")).distinct()
         # files by day, each of one task, however many days a batch's late records reach back
-        ids.repartition("day", F.pmod(F.hash(*[f"id{i}" for i in range(len(self.identity))]), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/seen/batch_id={batch_id}")
+        ids.repartition("day", F.pmod(F.hash(*[f"id{i}" for i in range(len(self.identity))]), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/seen/batch_id=b-{batch_id}")
 
     def read(self) -> DataFrame:
         """The aggregates of every period, from all batches merged so far."""

@@ -117,6 +117,16 @@ def p6_lines(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("file").alias("visibility_seq"), "record_no", "part", "entry.layout", "entry.entry_us", "entry.level", "entry.component", "entry.message", "entry.n_lines")
 
 
+def p6_lines_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of raws and of their lines beside each other: how many texts there are, and how many differ."""
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        fields = ["layout", "entry_us", "level", "component", "message"]
+        return df.groupBy("visibility_seq").agg(F.sum(F.xxhash64(*fields).cast("decimal(20,0)")).alias(name))
+
+    both = digest(p6_entries(spark, d), "a").join(digest(p6_lines(spark, d), "b"), "visibility_seq", "full")
+    return both.agg(F.count(F.lit(1)).alias("texts"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
+
+
 _P6 = r"""
 WITH r AS (SELECT visibility_seq, index_time, replace(raw, chr(13), '') AS raw FROM log_events WHERE raw_encoding = 1),
 k AS (SELECT *, CASE
@@ -152,7 +162,7 @@ SELECT visibility_seq, CASE WHEN lay = 'pino' THEN CAST(ts AS BIGINT) // 1000 WH
 FROM y
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p1_merged, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries, p6_lines)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_periods, p1_partials, p1_merged, p4_found, p4_events, p4_copies, p5_found, p5_key_profile, p6_found, p6_entries, p6_lines, p6_lines_checked)}
 
 SQL = {
     "p1_found": _P1_ROWS + "SELECT index_name, period_start FROM marked GROUP BY 1, 2 HAVING count(*) FILTER (late) >= 1 AND 4 * count(*) FILTER (late) >= count(*) FILTER (ok)",
@@ -164,5 +174,6 @@ SQL = {
     "p4_copies": "SELECT copies, count(*) AS identities FROM (SELECT count(*) AS copies FROM log_events GROUP BY tenant_id, event_id) GROUP BY 1",
     "p5_found": _P5_LONG + "SELECT key_field, key_value FROM long WHERE key_value <> '' GROUP BY 1, 2 HAVING count(*) >= 0.05 * (SELECT count(*) FROM log_events)",
     "p6_found": _P6,
+    "p6_lines_checked": "SELECT count(*) AS texts, 0 AS different FROM log_events WHERE raw_encoding = 1",
     "p5_key_profile": _P5_LONG + "SELECT key_field, key_value, count(*) AS n, CAST(sum(v) AS BIGINT) AS lag_ms_total, min(v) AS lag_ms_min, max(v) AS lag_ms_max, quantile_disc(v, 0.5) AS lag_ms_p50, quantile_disc(v, 0.95) AS lag_ms_p95 FROM long GROUP BY 1, 2",
 }

@@ -76,9 +76,10 @@ class EventStore:
     def append(self, events: DataFrame, token: str) -> None:
         if not token or not token.replace("-", "").replace("_", "").isalnum():
             raise ValueError("a token consists of letters, digits, - and _")
-        part = F.md5(F.coalesce(ident("index").cast("string"), F.lit("")).cast("binary")) if "index" in events.columns else F.lit("all")
+        # folders' names begin with a letter, so that no reader takes them for numbers
+        part = F.concat(F.lit("i-"), F.md5(F.coalesce(ident("index").cast("string"), F.lit("")).cast("binary"))) if "index" in events.columns else F.lit("all")
         rows = events.withColumn("part", part).withColumn("month", F.date_format(ident(self.time), "yyyy-MM"))
-        rows.write.mode("overwrite").partitionBy("part", "month").parquet(f"{self.path}/batch={token}")
+        rows.write.mode("overwrite").partitionBy("part", "month").parquet(f"{self.path}/batch=b-{token}")
 
     def _stored(self) -> DataFrame:
         return self.spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*")
@@ -101,7 +102,7 @@ class EventStore:
         """Removes an index's folders from every batch, here and now, and nothing else; gives their number. Dropping
         again removes nothing. Readers at work on the index will fail."""
         digest = hashlib.md5(index.encode()).hexdigest()
-        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/part={digest}")
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/part=i-{digest}")
         files = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration())
         folders = [x.getPath() for x in files.globStatus(pattern) or []]
         for folder in folders:  # one per batch
