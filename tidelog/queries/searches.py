@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidelog.plans.knowledge import Knowledge, Selector
 from tidelog.plans.paging import Retained
 from tidelog.sources import readers, sinks
 from tidelog.sources.catalog import parquet_folder
-from tidelog.streaming import ingest
+from tidelog.streaming import ingest, tail
 
 NOW = 1_706_745_600.0  # 2024-02-01, after the last event
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -427,6 +428,17 @@ def source_raw_lines(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_raw_lines(spark, at).groupBy(F.col("_raw").alias("raw")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("SELECT line AS value, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+def stream_tail(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' lines written as files, tailed, and tailed again without anything new."""
+    at = scratch(spark, "tail")
+    table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")).write.text(at + "/in")
+    for _ in range(2):
+        lines = tail.tail_growing(spark, urlparse(at).path + "/in", pattern="part-*")
+        lines.writeStream.format("parquet").option("path", at + "/out").option("checkpointLocation", at + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(at + "/out").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("SELECT tenant_id, count(DISTINCT event_id) AS n FROM log_events GROUP BY 1")
 def stream_once(spark: SparkSession, d: str) -> DataFrame:
     """The deliveries tailed as a stream, redeliveries dropped, the result written exactly once and read back."""
