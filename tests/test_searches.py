@@ -315,5 +315,6 @@ def test_text_tests_reach_the_scan(spark, tmp_path):
     c.add(Binding("t", lambda x: x.read.parquet(str(tmp_path / "t")), time="at", keys=("id",)))
     q = Session(spark, c, default_index="t")
     assert sorted(ids(q, "w=eRRor")) == [0, 1, 2] and sorted(ids(q, "w=token")) == [8, 9, 10] and sorted(ids(q, "NOT w=error")) == list(range(3, 13)) and ids(q, 'w=""') == [7]
+    assert sorted(ids(q, "w=ERR*")) == [0, 1, 2, 3, 4] and sorted(ids(q, "w=to*n")) == [8, 9, 10, 12] and sorted(ids(q, "w=*")) == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 12]
     plan = q.explain("w=error | table id")
     assert "GreaterThanOrEqual(w,ERROR)" in plan and "LessThanOrEqual(w,error)" in plan

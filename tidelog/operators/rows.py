@@ -48,9 +48,10 @@ def _field_test(rel: Relation, node: FieldTest) -> Column:
         own, whole = _test(v, node, value), _test(Value(F.col(NAME), "string"), node, value)
         return own | whole if node.op == "=" else own & whole
     hit = _test(v, node, value)
-    if node.op == "=" and "*" not in value and v.kind == "string" and node.field in rel.public and value.isascii() and not _is_number(value):
+    head = value.split("*")[0]  # what comes before a wildcard
+    if node.op == "=" and head and v.kind == "string" and node.field in rel.public and head.isascii() and not _is_number(value):
         # however it is written, it lies between its capitals and its small letters, which the scan can compare
-        lo, hi = value.upper(), value.lower()
+        lo, hi = head.upper(), head.lower() + ("\U0010ffff" if head != value else "")
         if "k" in hi:  # but for the sign of the unit kelvin, whose small letter is a k
             hi = hi[: hi.index("k")] + "\U0010ffff"
         hit = (v.col >= F.lit(lo)) & (v.col <= F.lit(hi)) & hit
