@@ -19,7 +19,7 @@ from tidelog.common import PRIVATE, cut, ident, micros, rows_at_most
 
 _H, _N, _KEEP, _SALT = PRIVATE + "h", PRIVATE + "n", PRIVATE + "keep", PRIVATE + "salt"
 
-#: Repeated identities are broadcast up to this many (8 bytes each, some 50 MB as a table); beyond it rows meet them in
+#: Repeated identities are broadcast up to this many (8 bytes each, some 70 MB as a table); beyond it rows meet them in
 #: a shuffle in which the rows of one identity are spread over ``SPLIT`` tasks.
 BROADCAST_ROWS = 1_000_000
 SPLIT = 32
